@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op6_mixing
+from .rules import op9_quality_rules
 from .sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op6_mixing": op6_mixing,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
