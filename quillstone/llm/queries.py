@@ -10,10 +10,13 @@ from .mixing import op6_mixing
 from .rules import op9_quality_rules
 from .sharding import op1_sharding
 
+from .token_ids import op4_token_ids
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op4_token_ids": op4_token_ids,
         "op6_mixing": op6_mixing,
         "op9_quality_rules": op9_quality_rules,
     }
