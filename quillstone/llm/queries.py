@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_search import OP2_SQL, op2_exact_top_k
+from .jaccard_join import op8_jaccard_join
 from .mixing import op6_mixing
 from .rules import op9_quality_rules
 from .sharding import op1_sharding
@@ -16,11 +18,15 @@ from .token_ids import op4_token_ids
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_exact_top_k": op2_exact_top_k,
         "op4_token_ids": op4_token_ids,
         "op6_mixing": op6_mixing,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_top_k": OP2_SQL,
+    }
