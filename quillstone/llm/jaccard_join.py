@@ -186,7 +186,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"), F.col("doc").alias("db"))
         sized = pairs.join(a, "a").join(b, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
         near = cut(sized.select("a", "b", "na", "nb", "ca", "cb", "da", "db").mapInArrow(_may_link(num, den), "a long, b long, da long, db long"))
-        wanted = row_filter(near.select(F.col("da").alias("d")).union(near.select("db")), "d")
+        wanted = row_filter(near.select(F.col("da").alias("d")).union(near.select("db")), F.xxhash64("d"))
         sets = _sets(docs, wanted, width)
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
         sets = cut(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -72,9 +72,9 @@ def connect(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     return components(links.unionByName(more))
 
 
-def row_filter(rows: DataFrame, column: str) -> np.ndarray:
-    """Bits of xxhash64(column) over the rows, packed: a filter of fixed size without false negatives."""
-    at = rows.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("at")).distinct().toArrow()["at"].to_numpy()
+def row_filter(rows: DataFrame, hashes: Column) -> np.ndarray:
+    """Bits of a column of 64-bit hashes, packed: a filter of fixed size without false negatives."""
+    at = rows.select(F.pmod(hashes, F.lit(FILTER_BITS)).alias("at")).distinct().toArrow()["at"].to_numpy()
     bits = np.zeros(FILTER_BITS, dtype=bool)
     bits[at] = True
     return np.packbits(bits)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_search import OP2_SQL, op2_exact_top_k
 from .jaccard_join import op8_jaccard_join
+from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
 from .rules import op9_quality_rules
 from .sharding import op1_sharding
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
