@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .class_lm import op7_class_lm
 from .exact_search import OP2_SQL, op2_exact_top_k
 from .jaccard_join import op8_jaccard_join
 from .line_dedup import op10_line_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_top_k": op2_exact_top_k,
         "op4_token_ids": op4_token_ids,
         "op6_mixing": op6_mixing,
+        "op7_class_lm": op7_class_lm,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_line_dedup": op10_line_dedup,
