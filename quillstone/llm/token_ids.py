@@ -9,6 +9,7 @@ committer keeps the files whole when tasks are retried, in any store that Spark
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,41 +22,83 @@ from . import simple8b
 from .common import documents, shared_dir
 
 #: Ids a segment holds at least, unless the partition ends; words that a worker remembers.
-SEGMENT, REMEMBERED = 1 << 20, 500_000
+SEGMENT, REMEMBERED = 1 << 20, 300_000
 SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<long>, words binary, offsets array<int>, escapes array<long>"
 
-_encoders: dict[str, tuple] = {}
+#: ASCII signs that may be parted from a letter or digit before them: no token holds both, and none is an apostrophe.
+SIGNS = ".,;:!?*$%&#|<>\"()[]{}-_=+/\\@^~`"
 
 
-def _encoder(path: str):
-    """The tokenizer of a file with what this worker remembers of it: word -> ids as little-endian 32-bit."""
-    if path not in _encoders:
+class WordEncoder:
+    """A tokenizer that lets no token cross white space, or a change from letters to signs, with the words it has met.
+
+    `known` has the ids of whole words, `parts` those of words without the signs at their end (ASCII in lower case), as little-endian 32-bit.
+    When either is full it becomes the older generation, from which words still in use are taken over.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {"": b""})
-    return _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def text(self, text: str) -> bytes:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
+        if len(self.parts) > 2 * REMEMBERED:
+            self.parts = {"": b""}
+        words = text.replace("\n", " ").split(" ")
+        new = set(words).difference(self.known)
+        if new:
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def learn(self, new: set[str]) -> None:
+        cut, older = {}, self.older
+        for word in new:
+            if word in older:
+                self.known[word] = older[word]
+                continue
+            part = word.rstrip(SIGNS)
+            if not part or "<|" in word or not (part[-1].isalpha() or part[-1].isdecimal()):
+                part = word
+            tail = word[len(part) :]
+            cut[word] = (part.lower() if part.isascii() and "<|" not in part else part, tail)
+        wanted = {x for pair in cut.values() for x in pair}.difference(self.parts)
+        plain = [x for x in wanted if x.isalpha()]
+        if plain:  # one word of letters each, so each ends with one token that ends a word
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) == len(plain):
+                raw, at = ids.tobytes(), 0
+                for x, end in zip(plain, ends.tolist(), strict=True):
+                    self.parts[x] = raw[at:end]
+                    at = end
+        for x in wanted.difference(self.parts):
+            self.parts[x] = self.ids(x)
+        for word, (part, tail) in cut.items():
+            self.known[word] = self.parts[part] + self.parts[tail]
+
+
+_encoders: dict[str, WordEncoder] = {}
 
 
 def encode_words(text: str, path: str, by_word: bool = True) -> bytes:
-    """Ids of a text. by_word: the tokenizer lets no token cross an ASCII space or line end, so the text is cut there and words are looked up."""
-    tokenizer, known = _encoder(path)
-    if not by_word:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    words = text.replace("\n", " ").split(" ")
-    try:
-        return b"".join(map(known.__getitem__, words))
-    except KeyError:
-        pass
-    if len(known) > REMEMBERED:
-        known.clear()
-        known[""] = b""
-    new = list({w for w in words if w not in known})
-    for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    return b"".join(map(known.__getitem__, words))
+    """Ids of a text; by_word: through the words that the worker remembers, which must suit the tokenizer."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path].text(text) if by_word else _encoders[path].ids(text)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, by_word: bool = True) -> None:
@@ -101,8 +144,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, by_wo
     ordered.select("doc_id", "text").mapInArrow(segments, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """part, segment, at (position in the segment), doc_id, ids_at (ids before it in the segment), n_tokens, ids (binary, little-endian 32-bit)."""
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """part, segment, at (position in the segment), doc_id, ids_at (ids before it in the segment), n_tokens, and ids (binary, little-endian 32-bit), or with digest their ids_crc32 alone."""
+
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,15 +157,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 starts = np.cumsum(lengths) - lengths
                 n = len(lengths)
+                each = [raw[4 * s : 4 * (s + k)] for s, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array([row["part"]] * n, pa.int32()), "segment": pa.array([row["segment"]] * n, pa.int32()), "at": pa.array(range(n), pa.int32()),
                         "doc_id": pa.array(row["doc_ids"], pa.int64()), "ids_at": pa.array(starts), "n_tokens": pa.array(lengths),
-                        "ids": pa.array([raw[4 * s : 4 * (s + k)] for s, k in zip(starts.tolist(), lengths.tolist(), strict=True)], pa.binary()),
+                        last: pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array(each, pa.binary()),
                     }
                 )
 
-    return spark.read.schema(SEGMENTS).parquet(path).mapInArrow(unpack, "part int, segment int, at int, doc_id long, ids_at long, n_tokens long, ids binary")
+    return spark.read.schema(SEGMENTS).parquet(path).mapInArrow(unpack, f"part int, segment int, at int, doc_id long, ids_at long, n_tokens long, {last} {kind}")
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -142,8 +188,8 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     write_ids(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
-    rows = read_ids(spark, path)
+    rows = read_ids(spark, path, digest=True)
     starts = segment_starts(spark, path)
-    return rows.select("part", "segment", "doc_id", "ids_at", "n_tokens", F.crc32("ids").alias("ids_crc32")).join(starts, ["part", "segment"]).select(
+    return rows.select("part", "segment", "doc_id", "ids_at", "n_tokens", "ids_crc32").join(starts, ["part", "segment"]).select(
         "doc_id", (F.col("segment_start") + F.col("ids_at")).alias("start"), "n_tokens", "ids_crc32"
     )
