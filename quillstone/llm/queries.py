@@ -11,6 +11,7 @@ from .exact_search import OP2_SQL, op2_exact_top_k
 from .jaccard_join import op8_jaccard_join
 from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
+from .pieces import op3_pieces
 from .rules import op9_quality_rules
 from .sharding import op1_sharding
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_exact_top_k": op2_exact_top_k,
+        "op3_pieces": op3_pieces,
         "op4_token_ids": op4_token_ids,
         "op6_mixing": op6_mixing,
         "op7_class_lm": op7_class_lm,
