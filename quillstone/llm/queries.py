@@ -12,6 +12,7 @@ from .jaccard_join import op8_jaccard_join
 from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
 from .pieces import op3_pieces
+from .quality import op5_quality
 from .rules import op9_quality_rules
 from .sharding import op1_sharding
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_top_k": op2_exact_top_k,
         "op3_pieces": op3_pieces,
         "op4_token_ids": op4_token_ids,
+        "op5_quality": op5_quality,
         "op6_mixing": op6_mixing,
         "op7_class_lm": op7_class_lm,
         "op8_jaccard_join": op8_jaccard_join,
