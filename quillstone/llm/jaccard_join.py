@@ -20,11 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents
-from .linkage import connect, passes, row_filter
+from .linkage import connect, passes, row_filter, sketch
 from .shingles import mixed, shingle_set
 
-#: Cells of the count sketch that bounds an intersection from above; sets above COUNTED go without.
-CELLS, COUNTED = 64, 60_000
 #: Differences up to which parts are cut in three rather than two (longer signatures, more of them).
 FINE = 40
 FEATURES = "doc_id long, n_shingles long, node long, check long, cells binary, keys array<long>"
@@ -97,8 +95,7 @@ def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 if len(s):
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
                     node, check = _signed(whole), _signed(whole >> 64)
-                    if len(s) <= COUNTED:
-                        cells = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype("<u2").tobytes()
+                    cells = sketch(s)
                     if node not in met:
                         met.add(node)
                         keys = np.unique(signatures(s, bands)).view(np.int64)
@@ -123,7 +120,7 @@ def _may_link(num: int, den: int):
             most = np.minimum(na, nb)
             for i, (x, y) in enumerate(zip(b["ca"].to_pylist(), b["cb"].to_pylist(), strict=True)):
                 if x is not None and y is not None:
-                    most[i] = np.minimum(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")).sum()
+                    most[i] = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)
             yield b.filter(pa.array(den * most >= num * (na + nb - most))).select(["a", "b", "da", "db"])
 
     return keep
@@ -195,7 +192,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         return near.select("a", "b").join(xa, "a").join(xb, "b").select("a", "b", "xa", "xb").mapInArrow(_linked(num, den), "a long, b long")
 
     keys = found.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    roots = connect(keys, verify)
+    roots = connect(keys, lambda wanted: nodes.select("node", "n", "cells").join(wanted, "node", "left_semi"), verify, num, den)
     rows = found.where("node is not null").select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     empty = found.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

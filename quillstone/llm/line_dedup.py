@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents
-from .linkage import connect, passes, row_filter
+from .linkage import connect, passes, row_filter, sketch
 from .shingles import mixed
 
 #: Characters a shingle, least similarity as num/den, bands and MinHash values a band: at a similarity of 0.8 a pair meets with a chance of 0.998.
@@ -29,21 +29,24 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"), seed=7) - (1 << 63)
 
 
-def min_hash_keys(lines: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Band keys of each line, (lines, bands). A line shorter than a shingle is one shingle."""
+def shingle_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles, line after line; how many each line has). A line shorter than a shingle is one shingle."""
     padded = [x.ljust(shingle, "\0") for x in lines]
     lengths = np.array([len(x) for x in padded], dtype=np.int64)
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     h = np.zeros(len(code) - shingle + 1, dtype=np.uint64)
     for i in range(shingle):
         h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : len(h) + i]
-    ends = np.cumsum(lengths)
-    inside = np.ones(len(code), dtype=bool)
+    ends, inside = np.cumsum(lengths), np.ones(len(code), dtype=bool)
     for i in range(1, shingle):
         inside[ends - i] = False
-    small = (mixed(h[inside[: len(h)]]) >> np.uint64(32)).astype(np.uint32)
-    counts = lengths - shingle + 1
-    starts = np.cumsum(counts) - counts
+    return mixed(h[inside[: len(h)]]), lengths - shingle + 1
+
+
+def min_hash_keys(lines: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Band keys of each line, (lines, bands)."""
+    hashes, counts = shingle_hashes(lines, shingle)
+    small, starts = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
     rng = np.random.default_rng(2024)
     factors, masks = rng.integers(1 << 20, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
     out, turned = np.zeros((len(lines), bands), dtype=np.uint64), np.empty_like(small)
@@ -106,22 +109,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _doc_key().alias("doc_key"), "text").mapInArrow(make, "doc_id long, doc_key long, line_no int, node long, keys array<long>")
 
 
-def _texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """node and text of the lines that pass the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _texts(docs: DataFrame, wanted: DataFrame, make_row, kinds: dict) -> DataFrame:
+    """One row for each line wanted (node): node and what make_row(line) gives."""
+    sent = docs.sparkSession.sparkContext.broadcast(row_filter(wanted, F.col("node")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             found: dict[int, str] = {}
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
                     found[line_hash(line)] = line
             nodes = np.fromiter(found, dtype=np.int64, count=len(found))
-            chosen = passes(sent.value, nodes)
-            lines = pa.array([x for x, ok in zip(found.values(), chosen.tolist(), strict=True) if ok], pa.string())
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[chosen]), "line": lines})
+            chosen = [x for x in nodes[passes(sent.value, nodes)].tolist() if x not in met]
+            met.update(chosen)
+            rows = [make_row(found[x]) for x in chosen]
+            yield pa.RecordBatch.from_pydict({"node": pa.array(chosen, pa.int64())} | {c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+
+    names = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long"}
+    rows = docs.select("text").mapInArrow(make, ", ".join(["node long", *(f"{c} {names[t]}" for c, t in kinds.items())]))
+    return rows.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
 
-    return docs.select("text").mapInArrow(make, "node long, line string")
+def _traits(line: str) -> tuple[int, bytes | None]:
+    """Size and count sketch of a line's shingle set."""
+    hashes = np.unique(shingle_hashes([line])[0])
+    return len(hashes), sketch(hashes)
 
 
 def _verify(docs: DataFrame):
@@ -133,8 +146,7 @@ def _verify(docs: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
         near = cut(pairs.select("a", "b"))
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        texts = _texts(docs, row_filter(ends, F.col("node")))
-        texts = cut(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+        texts = cut(_texts(docs, ends, lambda line: (line,), {"line": pa.string()}))
         xa = texts.select(F.col("node").alias("a"), F.col("line").alias("xa"))
         xb = texts.select(F.col("node").alias("b"), F.col("line").alias("xb"))
         return near.join(xa, "a").join(xb, "b").select("a", "b", "xa", "xb").mapInArrow(judge, "a long, b long")
@@ -145,7 +157,8 @@ def _verify(docs: DataFrame):
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, doc_key, line_no, node, root of every line whose component holds more than one line, and whether it stays (`first`)."""
     lines = cut(_lines(docs))
-    roots = connect(lines.where("keys is not null").select(F.explode("keys").alias("key"), "node"), _verify(docs))
+    keys = lines.where("keys is not null").select(F.explode("keys").alias("key"), "node")
+    roots = connect(keys, lambda wanted: _texts(docs, wanted, _traits, {"n": pa.int64(), "cells": pa.binary()}), _verify(docs), NUM, DEN)
     placed = lines.select("doc_id", "doc_key", "line_no", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "line_no")
     placed = placed.withColumn("place", place)

@@ -1,16 +1,18 @@
 """Linking near copies without forming all pairs of a group.
 
-Nodes that share a key may be linked. Each key first ties its nodes to its smallest one; tied pairs are
-verified and joined into components. Only keys whose nodes are still in different components are looked
-at again, and there only pairs across components are verified. So every pair that shares a key is either
-verified or already known to be connected.
+Nodes that share a key may be linked. Each key first ties its nodes to one of them, the hub, which is the one
+that shares most keys; tied pairs are verified and joined into components. Only keys whose nodes
+are still in different components are looked at again, in blocks of bounded size: there a count sketch
+bounds the similarity of pairs across components from above, and pairs that pass are verified. So
+every pair that shares a key is verified, ruled out by its bound, or already known to be connected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +21,8 @@ from .common import cut
 
 #: Bits of the filter that tells which rows a second pass over the texts has to prepare; it goes to every executor.
 FILTER_BITS = 1 << 23
+#: Cells of a count sketch; nodes of a key that are compared at once.
+CELLS, BLOCK = 256, 1024
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -53,25 +57,100 @@ def _compose(labels: DataFrame, hooks: DataFrame) -> DataFrame:
     return cut(moved.unionByName(hooks))
 
 
-def connect(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) for all nodes with a verified link. keys: (key, node), repeats allowed; verify: pairs (a, b) -> those that are linked."""
+def _by_group(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the columns, which the rows are sorted by."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids = np.stack([table[c].to_numpy() for c in columns])
+        starts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1]).tolist() if table.num_rows else [0]
+        for at, end in zip(starts[:-1], starts[1:], strict=True):
+            yield table.slice(at, end - at)
+        held = table.slice(starts[-1]).to_batches()
+    if held and held[0].num_rows:
+        yield pa.Table.from_batches(held)
+
+
+def _across(num: int, den: int):
+    """Pairs of a block whose roots differ and whose sketches allow the similarity num / den."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int]] = set()
+        for table in _by_group(batches, ["key", "i", "j"]):
+            node, root, side, n = (table[c].to_numpy() for c in ("node", "root", "block", "n"))
+            i, j, hub = table["i"][0].as_py(), table["j"][0].as_py(), table["hub"][0].as_py()
+            if (root == root[0]).all() or len(node) == 2 and hub in node:
+                continue
+            raw = table["cells"].to_pylist()
+            sound = np.array([c is not None for c in raw])
+            cells = np.frombuffer(b"".join(c if c is not None else bytes(CELLS) for c in raw), dtype=np.uint8).reshape(-1, CELLS)
+            roots, first, sizes = np.unique(root, return_index=True, return_counts=True)
+            main = roots[np.argmax(sizes)]
+            for x in np.flatnonzero((root != main) & (node != hub)):
+                ok = (root != root[x]) & (node != hub) & ((root == main) | (node > node[x]))
+                if i != j:
+                    ok &= side != side[x]
+                ok &= den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])
+                at = np.flatnonzero(ok)
+                if len(at):
+                    both = np.minimum(n[at], n[x])
+                    if sound[x]:
+                        bound = np.minimum(cells[at], cells[x]).sum(axis=1, dtype=np.int64)
+                        both = np.where(sound[at], bound, both)
+                    at = at[den * both >= num * (n[at] + n[x] - both)]
+                    me = int(node[x])
+                    out.update((me, y) if me < y else (y, me) for y in node[at].tolist())
+            if len(out) > 100_000:
+                yield _pairs(out)
+                out = set()
+        yield _pairs(out)
+
+    return find
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_pydict({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
+
+
+def connect(keys: DataFrame, traits: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(node, root) for all nodes with a verified link.
+
+    keys: (key, node), repeats allowed; traits: nodes (node) -> (node, n, cells), the size and sketch of their
+    sets; verify: pairs (a, b) -> those whose similarity is num / den or more.
+    """
     same = W.partitionBy("key")
-    shared = cut(keys.withColumn("hub", F.min("node").over(same)).withColumn("last", F.max("node").over(same)).where("hub <> last").select("key", "node", "hub").distinct())
-    tied = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    met = keys.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where("low <> high").select("key", "node").distinct()
+    met = cut(met.withColumn("others", F.count("*").over(same)))
+    rank = met.groupBy("node").agg(F.sum("others").alias("rank"))
+    hubs = met.join(rank, "node").groupBy("key").agg(F.min(F.struct(-F.col("rank"), "node"))["node"].alias("hub"))
+    shared = cut(met.join(hubs, "key"))
+    tied = shared.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = cut(verify(tied))
     roots = components(links)
-    placed = shared.join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = cut(placed.join(open_keys, "key", "left_semi"))
-    one = left.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), "hub")
-    other = left.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = one.join(other, "key").where("a < b and ra <> rb and a <> hub").select("a", "b").distinct()
-    more = cut(verify(across))
+    left = cut(placed.where("others > 2").join(open_keys, "key", "left_semi"))
+    known = cut(traits(left.select("node").distinct()))
+    blocks = F.ceil(F.col("others") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    dealt = left.join(known, "node").withColumn("blocks", blocks).withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = dealt.select("key", "i", "j", "node", "root", "hub", "block", "n", "cells").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = cut(verify(dealt.mapInArrow(_across(num, den), "a long, b long").distinct()))
     if not more.limit(1).count():
         return roots
     return components(links.unionByName(more))
 
 
+def sketch(hashes: np.ndarray) -> bytes | None:
+    """How many of a set's 64-bit hashes fall into each of CELLS cells; none where a count does not fit a byte."""
+    counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
 def row_filter(rows: DataFrame, hashes: Column) -> np.ndarray:
     """Bits of a column of 64-bit hashes, packed: a filter of fixed size without false negatives."""
     at = rows.select(F.pmod(hashes, F.lit(FILTER_BITS)).alias("at")).distinct().toArrow()["at"].to_numpy()
