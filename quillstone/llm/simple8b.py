@@ -23,9 +23,14 @@ _WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2), 7: (4, 3), 8:
 _SHIFTS = np.uint64(60)
 
 
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bit_length(v: np.ndarray) -> np.ndarray:
     bits = np.zeros(v.shape, dtype=np.uint8)
     top = int(v.max()).bit_length() if v.size else 0
+    if top <= 16:
+        return _SHORT[v]
     if top <= 52:
         return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
     for b in range(top):
@@ -51,7 +56,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         high[count] = m
     take = np.ones((blocks, wide), dtype=np.uint8)
     for count, bits in zip(COUNTS[-2::-1], BITS[-2::-1], strict=True):
-        take[high[int(count)] <= bits] = count
+        np.copyto(take, np.uint8(count), where=high[int(count)] <= bits)
     lengths = np.full(blocks, BLOCK)
     lengths[-1] = n - (blocks - 1) * BLOCK
     starts = np.zeros((blocks, wide), dtype=bool)

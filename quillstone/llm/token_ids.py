@@ -22,7 +22,7 @@ from . import simple8b
 from .common import documents, shared_dir
 
 #: Ids a segment holds at least, unless the partition ends; words that a worker remembers.
-SEGMENT, REMEMBERED = 1 << 20, 300_000
+SEGMENT, REMEMBERED = 1 << 20, 400_000
 SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<long>, words binary, offsets array<int>, escapes array<long>"
 
 #: ASCII signs that may be parted from a letter or digit before them: no token holds both, and none is an apostrophe.
@@ -65,30 +65,39 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, words))
 
     def learn(self, new: set[str]) -> None:
-        cut, older = {}, self.older
+        known, parts, older, todo, wanted = self.known, self.parts, self.older, [], set()
         for word in new:
-            if word in older:
-                self.known[word] = older[word]
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
                 continue
-            part = word.rstrip(SIGNS)
-            if not part or "<|" in word or not (part[-1].isalpha() or part[-1].isdecimal()):
+            part, tail = word.rstrip(SIGNS), ""
+            if part == word:
+                pass
+            elif part and (part[-1].isalpha() or part[-1].isdecimal()) and "<|" not in word:
+                tail = word[len(part) :]
+            else:
                 part = word
-            tail = word[len(part) :]
-            cut[word] = (part.lower() if part.isascii() and "<|" not in part else part, tail)
-        wanted = {x for pair in cut.values() for x in pair}.difference(self.parts)
-        plain = [x for x in wanted if x.isalpha()]
+            if part.isascii() and "<|" not in part:
+                part = part.lower()
+            try:
+                known[word] = parts[part] + parts[tail]
+            except KeyError:
+                todo.append((word, part, tail))
+                wanted.update((part, tail))
+        plain = [x for x in wanted.difference(parts) if x.isalpha()]
         if plain:  # one word of letters each, so each ends with one token that ends a word
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
             if len(ends) == len(plain):
                 raw, at = ids.tobytes(), 0
                 for x, end in zip(plain, ends.tolist(), strict=True):
-                    self.parts[x] = raw[at:end]
+                    parts[x] = raw[at:end]
                     at = end
-        for x in wanted.difference(self.parts):
-            self.parts[x] = self.ids(x)
-        for word, (part, tail) in cut.items():
-            self.known[word] = self.parts[part] + self.parts[tail]
+        for x in wanted.difference(parts):
+            parts[x] = self.ids(x)
+        for word, part, tail in todo:
+            known[word] = parts[part] + parts[tail]
 
 
 _encoders: dict[str, WordEncoder] = {}
