@@ -199,6 +199,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     return rows.join(first, "root").select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs but for those linked to a row of a smaller doc_id; of rows of equal id and text one stays. Rows of null id stay."""
+    groups = cut(jaccard_components(docs, width, num, den))
+    gone = groups.where("n_shingles > 0 and component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 4-word shingles and a similarity of 0.85."""
     return jaccard_components(documents(spark, sf_dir), width=4, num=85, den=100)

@@ -184,6 +184,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return joined.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce(F.size("drop_at"), F.lit(0))).withColumn("text", kept).drop("_key", "drop_at")
 
 
+def keep_lines(docs: DataFrame) -> DataFrame:
+    """docs with repeated lines taken out and n_chars, where there is one, brought up to date; documents of which no line is left go."""
+    left = dedup_lines(docs).where("n_lines = 0 or n_dropped < n_lines")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select([c for c in docs.columns if c in left.columns])
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line deduplication leaves of every document: doc_id, n_lines, n_dropped, and the text."""
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")

@@ -160,6 +160,18 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float
     )
 
 
+def take(docs: DataFrame, source: str = "source", **how) -> DataFrame:
+    """The rows of docs as often as the mix uses them."""
+    uses = mix(docs.select("doc_id", "text", F.array(source).alias("sources")), **how).select(
+        F.xxhash64("doc_id", "text_key").alias("_key"), F.size("uses").alias("_uses")
+    )
+    number = F.row_number().over(W.partitionBy("_key").orderBy("_key"))
+    uses = uses.where("_uses > 0").withColumn("_number", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("_uses"))))
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text"))).withColumn("_number", number)
+    taken = rows.join(uses, ["_key", "_number"]).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
+    return taken.select(docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, with its source's size and target."""
     out = mix(documents(spark, sf_dir).withColumn("sources", F.array("source")))

@@ -33,12 +33,15 @@ def _twice(pairs: Column) -> Column:
     return F.sort_array(F.transform(same, lambda x: x["p"]))
 
 
-def measure(docs: DataFrame, domain: str = "source") -> DataFrame:
-    """doc_id, domain and the text's counts. A null text counts as empty."""
+def measure(docs: DataFrame, domain: str = "source", whole: bool = False) -> DataFrame:
+    """doc_id, domain and the text's counts, and with whole the row itself. A null text counts as empty."""
     text = text_or_empty()
     letters = F.regexp_replace(text, r"\P{L}+", "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    own = [F.struct("*").alias("row")] if whole else []
+    barrier = F.spark_partition_id().alias("_at")  # a filter above must not be pushed below, where it would repeat these expressions for every word
     words = docs.select(
+        *own,
         "doc_id",
         F.col(domain).alias("domain"),
         F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("w"),
@@ -67,7 +70,7 @@ def measure(docs: DataFrame, domain: str = "source") -> DataFrame:
         lambda s: s["n"],
     )
     return at.select(
-        "doc_id", "domain", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        *(["row", barrier] if whole else []), "doc_id", "domain", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines", "letters", "lower",
     )
 
@@ -114,6 +117,14 @@ def judge(docs: DataFrame, domain: str = "source", host_rate: float = HOST_RATE)
     return out.withColumn("kept", ~F.col("own_failed") & (F.col("host_rate") < host_rate))
 
 
+def keep(docs: DataFrame, domain: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
+    """The rows of docs that judge() keeps, unchanged. The counts are worked out twice, for the domains and for the rows, so that texts need not be moved."""
+    rates = host_rates(cut(failures(measure(docs, domain)).select("domain", "own_failed")))
+    bad = rates.where(F.col("rate") >= host_rate).select(F.col("domain").alias("host"))
+    rows = failures(measure(docs, domain, whole=True)).where(~F.col("own_failed") & (F.col("_at") >= 0))
+    return rows.join(bad, F.col("domain").eqNullSafe(F.col("host")), "left_anti").select("row.*")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return judge(documents(spark, sf_dir)).select(
