@@ -10,9 +10,14 @@ TERM_BYTES, CHUNK, STRIDE, SNIPPET, PREVIEW = 128, 510, 446, 160, 96
 _TOKEN = r"[\p{IsAlphabetic}\p{N}]+"
 
 
+def raw_tokens(text: Column) -> Column:
+    """Maximal runs of letters and digits, in their own case."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Maximal runs of letters and digits, lower-cased after the split."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0)), F.lower)
+    return F.transform(raw_tokens(text), F.lower)
 
 
 def doc_len(text: Column) -> Column:
@@ -20,10 +25,9 @@ def doc_len(text: Column) -> Column:
 
 
 def clip_term(term: Column) -> Column:
-    """The term's longest prefix of whole characters within TERM_BYTES."""
-    ends = F.transform(F.sequence(F.lit(0), F.length(term)), lambda n: F.struct(F.octet_length(F.substring(term, F.lit(1), n)).alias("bytes"), n.alias("n")))
-    fits = F.filter(ends, lambda x: x["bytes"] <= TERM_BYTES)
-    return F.when(F.octet_length(term) <= TERM_BYTES, term).otherwise(F.substring(term, F.lit(1), F.element_at(fits, -1)["n"]))
+    """The term's longest prefix of whole characters within TERM_BYTES. A character that is cut leaves the sign for broken bytes, which no term holds."""
+    cut = F.make_valid_utf8(F.substring(term.cast("binary"), 1, TERM_BYTES).cast("string"))
+    return F.when(F.octet_length(term) <= TERM_BYTES, term).otherwise(F.rtrim(cut, F.lit("\ufffd")))
 
 
 def chunk_count(n_tokens: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scoring
-from ..functions.text import clip_term, tokens
+from ..functions.text import clip_term, doc_len, raw_tokens, tokens
 
 #: Digits that scores are rounded to before they are ranked; query vectors sent to the executors at once.
 DIGITS, QUERIES_AT_ONCE = 6, 4096
@@ -19,14 +19,14 @@ DIGITS, QUERIES_AT_ONCE = 6, 4096
 
 def term_rows(memories: DataFrame) -> DataFrame:
     """id, term, tf, doc_len of every document, dead ones included."""
-    toks = memories.select("id", tokens(F.col("content")).alias("toks"))
+    toks = memories.select("id", raw_tokens(F.col("content")).alias("toks"))
     rows = toks.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
-    return rows.groupBy("id", "doc_len", clip_term(F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+    return rows.groupBy("id", "doc_len", clip_term(F.lower("term")).alias("term")).agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(memories: DataFrame) -> DataFrame:
     """One row: documents and tokens, dead documents included until they are vacuumed."""
-    size = F.size(tokens(F.col("content")))
+    size = doc_len(F.col("content"))
     return memories.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(size), F.lit(0)).alias("total_tokens"))
 
 
@@ -38,8 +38,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_scores(memories: DataFrame, queries: DataFrame, keep: Column) -> DataFrame:
     """query_id, id, score > 0 of kept documents. Statistics cover all documents; only rows of asked terms are shuffled."""
     asked = query_terms(queries)
-    toks = memories.select("id", keep.alias("kept"), tokens(F.col("content")).alias("toks"))
-    rows = toks.select("id", "kept", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).withColumn("term", clip_term(F.col("term")))
+    toks = memories.select("id", keep.alias("kept"), raw_tokens(F.col("content")).alias("toks"))
+    rows = toks.select("id", "kept", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).withColumn("term", clip_term(F.lower("term")))
     tf = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "kept", "doc_len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(memories)
