@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents
-from .linkage import connect, passes, row_filter, sketch
+from .linkage import Store, connect, may_link, passes, row_filter, sketch
 from .shingles import mixed, shingle_set
 
 #: Differences up to which parts are cut in three rather than two (longer signatures, more of them).
 FINE = 40
-FEATURES = "doc_id long, n_shingles long, node long, check long, cells binary, keys array<long>"
+FEATURES = "doc_id long, n_shingles long, node long, check long, bits binary, keys array<long>"
 
 
 def _signed(number: int) -> int:
@@ -88,40 +88,36 @@ def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, met = Bands(num, den), set()
         for batch in batches:
-            cols: dict = {c: [] for c in ("n", "node", "check", "cells", "keys")}
+            cols: dict = {c: [] for c in ("n", "node", "check", "bits", "keys")}
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
-                node = check = cells = keys = None
+                node = check = bits = keys = None
                 if len(s):
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
                     node, check = _signed(whole), _signed(whole >> 64)
-                    cells = sketch(s)
+                    bits = sketch(s)
                     if node not in met:
                         met.add(node)
                         keys = np.unique(signatures(s, bands)).view(np.int64)
-                for c, v in zip(cols, (len(s), node, check, cells, keys), strict=True):
+                for c, v in zip(cols, (len(s), node, check, bits, keys), strict=True):
                     cols[c].append(v)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0), "n_shingles": pa.array(cols["n"], pa.int64()), "node": pa.array(cols["node"], pa.int64()), "check": pa.array(cols["check"], pa.int64()),
-                    "cells": pa.array(cols["cells"], pa.binary()), "keys": pa.array(cols["keys"], pa.list_(pa.int64())),
+                    "bits": pa.array(cols["bits"], pa.binary()), "keys": pa.array(cols["keys"], pa.list_(pa.int64())),
                 }
             )
 
     return docs.select("doc_id", "text").mapInArrow(make, FEATURES)
 
 
-def _may_link(num: int, den: int):
-    """Pairs whose sizes and count sketches allow the similarity."""
+def _near(num: int, den: int):
+    """Pairs whose sizes and sketches allow the similarity."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            na, nb = b["na"].to_numpy(), b["nb"].to_numpy()
-            most = np.minimum(na, nb)
-            for i, (x, y) in enumerate(zip(b["ca"].to_pylist(), b["cb"].to_pylist(), strict=True)):
-                if x is not None and y is not None:
-                    most[i] = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)
-            yield b.filter(pa.array(den * most >= num * (na + nb - most))).select(["a", "b", "da", "db"])
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.uint64) for c in ("xa", "xb"))
+            yield b.filter(pa.array(may_link(x, y, b["na"].to_numpy(), b["nb"].to_numpy(), num, den))).select(["a", "b", "da", "db"])
 
     return keep
 
@@ -172,17 +168,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """
     found = cut(features(docs, width, num, den))
     nodes = found.where("node is not null").groupBy("node").agg(
-        F.min("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.max("cells").alias("cells"), F.min("doc_id").alias("doc")
+        F.min("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc")
     )
     nodes = cut(nodes)
     if nodes.where("low <> high").limit(1).count():
         raise RuntimeError("two shingle sets share a 64-bit hash; run again with another shingle width or hash")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"), F.col("doc").alias("da"))
-        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"), F.col("doc").alias("db"))
+        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("doc").alias("da"))
+        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("doc").alias("db"))
         sized = pairs.join(a, "a").join(b, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-        near = cut(sized.select("a", "b", "na", "nb", "ca", "cb", "da", "db").mapInArrow(_may_link(num, den), "a long, b long, da long, db long"))
+        near = cut(sized.select("a", "b", "na", "nb", "xa", "xb", "da", "db").mapInArrow(_near(num, den), "a long, b long, da long, db long"))
         wanted = row_filter(near.select(F.col("da").alias("d")).union(near.select("db")), F.xxhash64("d"))
         sets = _sets(docs, wanted, width)
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
@@ -192,7 +188,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         return near.select("a", "b").join(xa, "a").join(xb, "b").select("a", "b", "xa", "xb").mapInArrow(_linked(num, den), "a long, b long")
 
     keys = found.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    roots = connect(keys, lambda wanted: nodes.select("node", "n", "cells").join(wanted, "node", "left_semi"), verify, num, den)
+    roots = connect(keys, lambda _: Store(lambda wanted: nodes.select("node", "n", "bits").join(wanted, "node", "left_semi"), verify), num, den)
     rows = found.where("node is not null").select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     empty = found.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

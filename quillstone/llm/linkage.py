@@ -2,14 +2,15 @@
 
 Nodes that share a key may be linked. Each key first ties its nodes to one of them, the hub, which is the one
 that shares most keys; tied pairs are verified and joined into components. Only keys whose nodes
-are still in different components are looked at again, in blocks of bounded size: there a count sketch
-bounds the similarity of pairs across components from above, and pairs that pass are verified. So
+are still in different components are looked at again, in blocks of bounded size: there a parity sketch
+bounds the differences of pairs across components from below, and pairs that pass are verified. So
 every pair that shares a key is verified, ruled out by its bound, or already known to be connected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,33 +22,29 @@ from .common import cut
 
 #: Bits of the filter that tells which rows a second pass over the texts has to prepare; it goes to every executor.
 FILTER_BITS = 1 << 23
-#: Cells of a count sketch; nodes of a key that are compared at once.
-CELLS, BLOCK = 256, 1024
+#: Bits of a parity sketch; nodes of a key that are compared at once.
+CELLS, BLOCK = 2048, 1024
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable by links (a, b). Distributed: in each round every
-    root hooks onto its smallest neighbour, chains are halved by pointer jumping, and links are contracted."""
-    spark = links.sparkSession
+    root hooks onto its smallest neighbour, chains are shortened by pointer jumping, and links are contracted."""
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
-    while edges.limit(1).count():
-        hooks = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
-        while True:
+    while labels is None or edges.limit(1).count():
+        hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        moved = True
+        while moved:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = cut(hooks.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            jumped = hooks.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+            again = jumped.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            jumped = cut(jumped.join(again, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.col("moved") & F.col("above").isNotNull()).alias("moved")))
+            moved = bool(jumped.where("moved").limit(1).count())
             hooks = jumped.select("node", "root")
-            if not jumped.where("moved").limit(1).count():
-                break
         labels = hooks if labels is None else _compose(labels, hooks)
-        at = hooks.select(F.col("node"), F.col("root"))
-        moved = edges.join(at.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-            at.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
-        )
+        ends = edges.join(hooks.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(hooks.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         ra, rb = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-        edges = cut(moved.select(F.least(ra, rb).alias("a"), F.greatest(ra, rb).alias("b")).where("a <> b").distinct())
-    if labels is None:
-        return spark.createDataFrame([], "node long, root long")
+        edges = cut(ends.select(F.least(ra, rb).alias("a"), F.greatest(ra, rb).alias("b")).where("a <> b").distinct())
     return labels
 
 
@@ -72,8 +69,8 @@ def _by_group(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-def _across(num: int, den: int):
-    """Pairs of a block whose roots differ and whose sketches allow the similarity num / den."""
+def _across(num: int, den: int, once: bool):
+    """Pairs of a block whose roots differ and whose sketches allow the similarity num / den. once: only under the smallest key that both share (all_keys ascend)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
@@ -82,10 +79,9 @@ def _across(num: int, den: int):
             i, j, hub = table["i"][0].as_py(), table["j"][0].as_py(), table["hub"][0].as_py()
             if (root == root[0]).all() or len(node) == 2 and hub in node:
                 continue
-            raw = table["cells"].to_pylist()
-            sound = np.array([c is not None for c in raw])
-            cells = np.frombuffer(b"".join(c if c is not None else bytes(CELLS) for c in raw), dtype=np.uint8).reshape(-1, CELLS)
-            roots, first, sizes = np.unique(root, return_index=True, return_counts=True)
+            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+            own, key = [set(k) for k in table["all_keys"].to_pylist()] if once else [], table["key"][0].as_py()
+            roots, sizes = np.unique(root, return_counts=True)
             main = roots[np.argmax(sizes)]
             for x in np.flatnonzero((root != main) & (node != hub)):
                 ok = (root != root[x]) & (node != hub) & ((root == main) | (node > node[x]))
@@ -94,11 +90,9 @@ def _across(num: int, den: int):
                 ok &= den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])
                 at = np.flatnonzero(ok)
                 if len(at):
-                    both = np.minimum(n[at], n[x])
-                    if sound[x]:
-                        bound = np.minimum(cells[at], cells[x]).sum(axis=1, dtype=np.int64)
-                        both = np.where(sound[at], bound, both)
-                    at = at[den * both >= num * (n[at] + n[x] - both)]
+                    at = at[may_link(bits[at], bits[x], n[at], n[x], num, den)]
+                    if once:
+                        at = np.array([y for y in at.tolist() if min(own[x] & own[y]) == key], dtype=np.int64)
                     me = int(node[x])
                     out.update((me, y) if me < y else (y, me) for y in node[at].tolist())
             if len(out) > 100_000:
@@ -114,41 +108,56 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
 
 
-def connect(keys: DataFrame, traits: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(node, root) for all nodes with a verified link.
-
-    keys: (key, node), repeats allowed; traits: nodes (node) -> (node, n, cells), the size and sketch of their
-    sets; verify: pairs (a, b) -> those whose similarity is num / den or more.
-    """
+def connect(keys: DataFrame, prepare: Callable[[DataFrame], Store], num: int, den: int, central: bool = True, once: bool = False) -> DataFrame:
+    """(node, root) for all nodes with a verified link of similarity num / den. keys: (key, node), repeats allowed; prepare: nodes (node) that share a key -> Store.
+    central: the hub of a key is its node that shares most, else its smallest. once: nodes have few keys, so a pair is tested under one of them alone."""
     same = W.partitionBy("key")
-    met = keys.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where("low <> high").select("key", "node").distinct()
-    met = cut(met.withColumn("others", F.count("*").over(same)))
-    rank = met.groupBy("node").agg(F.sum("others").alias("rank"))
-    hubs = met.join(rank, "node").groupBy("key").agg(F.min(F.struct(-F.col("rank"), "node"))["node"].alias("hub"))
-    shared = cut(met.join(hubs, "key"))
+    met = keys.select("key", "node", F.min("node").over(same).alias("hub"), F.max("node").over(same).alias("high"), F.count("*").over(same).alias("others"))
+    shared = cut(met.where("hub <> high").select("key", "node", "hub", "others").distinct())
+    if central:
+        rank = shared.groupBy("node").agg(F.sum("others").alias("rank"))
+        hubs = shared.select("key", "node").join(rank, "node").groupBy("key").agg(F.min(F.struct(-F.col("rank"), "node"))["node"].alias("hub"))
+        shared = cut(shared.drop("hub").join(hubs, "key"))
+    store = prepare(shared.select("node").distinct())
     tied = shared.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = cut(verify(tied))
+    links = cut(store.verify(tied))
     roots = components(links)
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.where("others > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = cut(placed.where("others > 2").join(open_keys, "key", "left_semi"))
-    known = cut(traits(left.select("node").distinct()))
-    blocks = F.ceil(F.col("others") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    dealt = left.join(known, "node").withColumn("blocks", blocks).withColumn("block", block)
+    left = cut(placed.join(open_keys, "key", "left_semi"))
+    traits = store.traits(left.select("node").distinct())
+    if once:
+        traits = traits.join(left.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("all_keys")), "node")
+    dealt = left.join(traits, "node")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = dealt.select("key", "i", "j", "node", "root", "hub", "block", "n", "cells").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cut(verify(dealt.mapInArrow(_across(num, den), "a long, b long").distinct()))
-    if not more.limit(1).count():
+    dealt = dealt.select("key", "i", "j", "node", "root", "hub", "block", "n", "bits", *(["all_keys"] if once else [])).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    across = cut(dealt.mapInArrow(_across(num, den, once), "a long, b long").distinct())
+    if not across.limit(1).count():
         return roots
-    return components(links.unionByName(more))
+    return components(links.unionByName(store.verify(across)))
+
+
+@dataclass
+class Store:
+    """What is known of nodes: traits, (node) -> (node, n, bits), the size and parity sketch of their sets; verify: pairs (a, b) -> those that are linked."""
+
+    traits: Callable[[DataFrame], DataFrame]
+    verify: Callable[[DataFrame], DataFrame]
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of CELLS cells whether an odd number of a set's 64-bit hashes fall into it. Two sets differ in at least as many features as their sketches do in bits."""
+    odd = np.bincount((hashes >> np.uint64(53)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
-def sketch(hashes: np.ndarray) -> bytes | None:
-    """How many of a set's 64-bit hashes fall into each of CELLS cells; none where a count does not fit a byte."""
-    counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=CELLS)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+def may_link(bits: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m features with such sketches (as 64-bit words) may have the similarity num / den."""
+    differ = np.bitwise_count(bits ^ other).sum(axis=1, dtype=np.int64)
+    return (den + num) * differ <= (den - num) * (n + m)
 
 
 def row_filter(rows: DataFrame, hashes: Column) -> np.ndarray:
