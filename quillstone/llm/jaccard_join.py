@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, slices
 from .linkage import Store, connect, may_link, passes, row_filter, sketch
 from .shingles import mixed, shingle_set
 
@@ -87,7 +87,7 @@ def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, met = Bands(num, den), set()
-        for batch in batches:
+        for batch in slices(batches):
             cols: dict = {c: [] for c in ("n", "node", "check", "bits", "keys")}
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
@@ -126,7 +126,7 @@ def _linked(num: int, den: int):
     """Pairs whose sets have the similarity."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = []
             for x, y in zip(b["xa"].to_pylist(), b["xb"].to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -145,7 +145,7 @@ def _sets(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             chosen = batch.filter(pa.array(passes(sent.value, batch.column(0).to_numpy(zero_copy_only=False))))
             nodes, sets = [], []
             for text in chosen.column(1).to_pylist():
@@ -208,3 +208,26 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 4-word shingles and a similarity of 0.85."""
     return jaccard_components(documents(spark, sf_dir), width=4, num=85, den=100)
+
+
+OP8_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM w WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), k AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g AS a JOIN g AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT x, y FROM k JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), ways AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, ways.y FROM reach JOIN ways ON ways.x = reach.y
+), least AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM documents AS d JOIN least ON least.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .class_lm import op7_class_lm
 from .exact_search import OP2_SQL, op2_exact_top_k
-from .jaccard_join import op8_jaccard_join
+from .jaccard_join import OP8_SQL, op8_jaccard_join
 from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
 from .pieces import op3_pieces
 from .quality import op5_quality
-from .rules import op9_quality_rules
+from .rules import OP9_SQL, op9_quality_rules
 from .sharding import op1_sharding
 
 from .token_ids import op4_token_ids
@@ -37,4 +37,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_top_k": OP2_SQL,
+        "op8_jaccard_join": OP8_SQL,
+        "op9_quality_rules": OP9_SQL,
     }

@@ -15,6 +15,8 @@ from .common import SPACES, WORD, cut, documents, text_or_empty
 #: Fixed values of the rules: share of symbols to words, of repeated lines, of capital letters, mean word
 #: length, and the shrunk failure rate from which a domain is rejected.
 SYMBOLS, DUP_LINES, CAPITALS, WORD_LENGTH, HOST_RATE = 0.1, 0.3, 0.5, (2.0, 15.0), 0.5
+#: Rejected domains up to which they are sent to all executors; more are joined by shuffling.
+SENT_HOSTS = 10_000
 SYMBOL_SET = "#*$%&|<>"
 
 
@@ -120,13 +122,53 @@ def judge(docs: DataFrame, domain: str = "source", host_rate: float = HOST_RATE)
 def keep(docs: DataFrame, domain: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
     """The rows of docs that judge() keeps, unchanged. The counts are worked out twice, for the domains and for the rows, so that texts need not be moved."""
     rates = host_rates(cut(failures(measure(docs, domain)).select("domain", "own_failed")))
-    bad = rates.where(F.col("rate") >= host_rate).select(F.col("domain").alias("host"))
+    bad = cut(rates.where(F.col("rate") >= host_rate).select(F.col("domain").alias("host")))
     rows = failures(measure(docs, domain, whole=True)).where(~F.col("own_failed") & (F.col("_at") >= 0))
-    return rows.join(bad, F.col("domain").eqNullSafe(F.col("host")), "left_anti").select("row.*")
+    found = bad.count()
+    if found:
+        bad = F.broadcast(bad) if found <= SENT_HOSTS else bad
+        rows = rows.join(bad, F.col("domain").eqNullSafe(F.col("host")), "left_anti")
+    return rows.select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return judge(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "own_failed", "host_rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "own_failed", F.round("host_rate", 9).alias("host_rate")
     )
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+    regexp_replace(coalesce(text, ''), '[^\\p{L}]+', '', 'g') AS letters
+  FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM t WHERE len(w) >= 4
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g) AS x WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM twice) AS x GROUP BY doc_id
+), m AS (
+  SELECT t.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, length(letters) AS letters, length(letters) - length(regexp_replace(letters, '\\p{Lu}+', '', 'g')) AS capitals
+  FROM t LEFT JOIN covered ON covered.doc_id = t.doc_id
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines OR capitals > 0.5 * letters
+      OR word_chars * 1.0 / greatest(n_words, 1) < 2 OR word_chars * 1.0 / greatest(n_words, 1) > 15 AS own_failed
+  FROM m
+), h AS (
+  SELECT source, CAST(count(*) AS DOUBLE) AS d, CAST(count(*) FILTER (WHERE own_failed) AS DOUBLE) AS f FROM f GROUP BY source
+), s AS (
+  SELECT sum(f) / sum(d) AS p, sum(d) - sum(d * d) / sum(d) AS room, sum(f * f / d) - sum(d) * (sum(f) / sum(d)) * (sum(f) / sum(d)) - (sum(f) / sum(d)) * (1 - sum(f) / sum(d)) * (count(*) - 1) AS between_ FROM h
+), r AS (
+  SELECT source, (f + p * z) / (d + z) AS rate FROM (
+    SELECT h.*, p, CASE WHEN room > 0 AND between_ > 0 THEN least(greatest(p * (1 - p) * room / between_ - 1, 1), 1e6) ELSE 1e6 END AS z FROM h CROSS JOIN s
+  ) AS x
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT own_failed AND rate < 0.5 AS kept, own_failed, round(rate, 9) AS host_rate
+FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source
+"""
