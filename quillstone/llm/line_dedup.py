@@ -15,12 +15,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
-from .linkage import connect, passes, row_filter, sketch
+from .common import cut, documents, slices
+from .linkage import Store, connect, passes, row_filter, sketch
 from .shingles import mixed
 
-#: Characters a shingle, least similarity as num/den, bands and MinHash values a band: at a similarity of 0.8 a pair meets with a chance of 0.998.
-SHINGLE, NUM, DEN, BANDS, ROWS = 7, 80, 100, 12, 4
+#: Characters a shingle, least similarity as num/den, bands and MinHash values a band: at a similarity of 0.8 a pair meets with a chance of 0.991, at 0.85 of 0.999.
+SHINGLE, NUM, DEN, BANDS, ROWS = 7, 80, 100, 9, 4
 #: Characters worked on at once.
 CHUNK = 1 << 20
 
@@ -60,9 +60,13 @@ def min_hash_keys(lines: list[str], shingle: int = SHINGLE, bands: int = BANDS,
     return out.view(np.int64)
 
 
-def similar(a: str, b: str, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> bool:
-    """Whether the lines' shingle sets have the similarity."""
-    x, y = ({s[i : i + shingle] for i in range(max(1, len(s) - shingle + 1))} for s in (a, b))
+def shingles_of(line: str, shingle: int = SHINGLE) -> set[str]:
+    return {line[i : i + shingle] for i in range(max(1, len(line) - shingle + 1))}
+
+
+def similar(a: str | set[str], b: str, num: int = NUM, den: int = DEN) -> bool:
+    """Whether two lines' shingle sets have the similarity; the first may be given as its set."""
+    x, y = a if isinstance(a, set) else shingles_of(a), shingles_of(b)
     both = len(x & y)
     return den * both >= num * (len(x) + len(y) - both)
 
@@ -77,7 +81,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             held: dict[str, list] = {"doc_id": [], "doc_key": [], "line_no": [], "node": [], "line": []}
             n = 0
 
@@ -109,56 +113,63 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _doc_key().alias("doc_key"), "text").mapInArrow(make, "doc_id long, doc_key long, line_no int, node long, keys array<long>")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, make_row, kinds: dict) -> DataFrame:
-    """One row for each line wanted (node): node and what make_row(line) gives."""
-    sent = docs.sparkSession.sparkContext.broadcast(row_filter(wanted, F.col("node")))
+def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and line of the lines wanted (node)."""
+    sent = docs.sparkSession.sparkContext.broadcast(row_filter(nodes, F.col("node")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             found: dict[int, str] = {}
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
                     found[line_hash(line)] = line
-            nodes = np.fromiter(found, dtype=np.int64, count=len(found))
-            chosen = [x for x in nodes[passes(sent.value, nodes)].tolist() if x not in met]
+            ids = np.fromiter(found, dtype=np.int64, count=len(found))
+            chosen = [x for x in ids[passes(sent.value, ids)].tolist() if x not in met]
             met.update(chosen)
-            rows = [make_row(found[x]) for x in chosen]
-            yield pa.RecordBatch.from_pydict({"node": pa.array(chosen, pa.int64())} | {c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(chosen, pa.int64()), "line": pa.array([found[x] for x in chosen], pa.string())})
+
+    rows = docs.select("text").mapInArrow(make, "node long, line string")
+    return cut(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
-    names = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long"}
-    rows = docs.select("text").mapInArrow(make, ", ".join(["node long", *(f"{c} {names[t]}" for c, t in kinds.items())]))
-    return rows.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
+def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, bits of lines (node, line)."""
+    for batch in batches:
+        sizes, bits = [], []
+        for line in batch.column(1).to_pylist():
+            hashes = np.unique(shingle_hashes([line])[0])
+            sizes.append(len(hashes))
+            bits.append(sketch(hashes))
+        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-def _traits(line: str) -> tuple[int, bytes | None]:
-    """Size and count sketch of a line's shingle set."""
-    hashes = np.unique(shingle_hashes([line])[0])
-    return len(hashes), sketch(hashes)
 
+def _store(docs: DataFrame, nodes: DataFrame) -> Store:
+    lines = _wanted(docs, nodes)
 
-def _verify(docs: DataFrame):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, set()
         for b in batches:
-            ok = [similar(x, y) for x, y in zip(b["xa"].to_pylist(), b["xb"].to_pylist(), strict=True)]
+            ok = []
+            for x, y in zip(b["xa"].to_pylist(), b["xb"].to_pylist(), strict=True):
+                if x != last:  # rows of one hub come together
+                    last, known = x, shingles_of(x)
+                ok.append(similar(known, y))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = cut(pairs.select("a", "b"))
-        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        texts = cut(_texts(docs, ends, lambda line: (line,), {"line": pa.string()}))
-        xa = texts.select(F.col("node").alias("a"), F.col("line").alias("xa"))
-        xb = texts.select(F.col("node").alias("b"), F.col("line").alias("xb"))
-        return near.join(xa, "a").join(xb, "b").select("a", "b", "xa", "xb").mapInArrow(judge, "a long, b long")
+        xa = lines.select(F.col("node").alias("a"), F.col("line").alias("xa"))
+        xb = lines.select(F.col("node").alias("b"), F.col("line").alias("xb"))
+        return pairs.join(xb, "b").join(xa, "a").select("a", "b", "xa", "xb").mapInArrow(judge, "a long, b long")
 
-    return verify
+    return Store(lambda wanted: lines.join(wanted, "node", "left_semi").select("node", "line").mapInArrow(_traits, "node long, n long, bits binary"), verify)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, doc_key, line_no, node, root of every line whose component holds more than one line, and whether it stays (`first`)."""
     lines = cut(_lines(docs))
     keys = lines.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    roots = connect(keys, lambda wanted: _texts(docs, wanted, _traits, {"n": pa.int64(), "cells": pa.binary()}), _verify(docs), NUM, DEN)
+    roots = connect(keys, lambda nodes: _store(docs, nodes), NUM, DEN, central=False, once=True)
     placed = lines.select("doc_id", "doc_key", "line_no", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "line_no")
     placed = placed.withColumn("place", place)
@@ -177,7 +188,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.drop("n_lines", "n_dropped").withColumn("_key", _doc_key())
     joined = keyed.join(drops.withColumnRenamed("doc_key", "_key"), "_key", "left")
     lines = F.split(F.col("text"), "\n", -1)
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)), F.lit(0))
+    n_lines = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0))  # from a line's first word to its end
     kept = F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop_at", i)), "\n")
     )
