@@ -23,16 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, shuffle_width
 
 #: What stands for a space in pieces.
 SPACE = "▁"
 #: Longest word that is segmented by the lattice (its boundaries are bits of a long); longer ones are merged in Python.
 LONGEST = 60
 #: Bytes of text a block of documents holds about.
-BLOCK_CHARS = 40_000_000
+BLOCK_CHARS = 32_000_000
 #: Fixed values of the model file: kinds of model and of pieces.
 UNIGRAM, BPE = 1, 2
+#: Number of the bit of a fold's result that asks for the longer fold; least number of buckets that words are dealt to; input partitions whose words are segmented
+#: together; bits of a block's number that tell the runs of one partition apart.
+AGAIN, BUCKETS, TOGETHER, RUN_BITS = 62, 512, 64, 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -139,45 +142,63 @@ def best_long(word: str, model: PieceModel) -> list[str]:
     return out[::-1]
 
 
-def _edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """word, edges: (rank, start, end) of each piece of two characters or more that lies in the word, best first, then leftmost."""
-    size = F.length("word")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), size - 2),
-            lambda s: F.transform(F.sequence(s + 2, F.least(size, s + longest)), lambda e: F.struct(s.alias("s"), e.alias("e"), F.substring("word", s + 1, e - s).alias("piece"))),
-        )
-    )
-    exploded = words.select("word", F.explode(spans).alias("x")).select("word", "x.s", "x.e", "x.piece")
-    found = exploded.join(F.broadcast(table), "piece")  # as many rows as the model has pieces
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "s", "e"))).alias("edges"))
-
-
 def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
 
 
+def _late(model: PieceModel) -> set[str]:
+    """Pieces that some piece of no worse rank begins or ends with: once such a piece is merged, a merge that was passed over may have become possible."""
+    out = set()
+    for whole, i in model.ids.items():
+        for n in range(1, len(whole)):
+            for part in (whole[:n], whole[n:]):
+                at = model.ids.get(part)
+                if at is not None and model.scores[at] <= model.scores[i]:
+                    out.add(part)
+    return out
+
+
+def _table(spark: SparkSession, model: PieceModel) -> DataFrame:
+    """The pieces of two characters or more, with score, and order: twice the rank (equal scores share one), plus 1 if late."""
+    late, long = _late(model), [(model.scores[i], p) for p, i in model.ids.items() if len(p) > 1]
+    rank = {s: r for r, s in enumerate(sorted({s for s, _ in long}, reverse=True))}
+    return spark.createDataFrame([(p, s, 2 * rank[s] + (p in late)) for s, p in long], "piece string, score double, order long")
+
+
+def _edges(words: DataFrame, model: PieceModel, keys: list[str], carried: list[Column]) -> DataFrame:
+    """keys (word among them), carried, and edges, best first, then leftmost: at (order, start and end), and the bits of both
+    ends and of what lies between; for unigrams start, end and score too. Rows of equal keys have to lie in one partition already."""
+    size, s, e = F.length("word"), F.col("s"), F.col("e")
+    starts = words.select(*words.columns, F.explode(F.sequence(F.lit(0), size - 2)).alias("s"))
+    spans = starts.select("*", F.explode(F.sequence(s + 2, F.least(size, s + model.longest))).alias("e"))
+    pieces = spans.withColumn("piece", F.substring("word", s + 1, e - s))
+    found = pieces.join(F.broadcast(_table(words.sparkSession, model)), "piece")  # as many rows as the model has pieces
+    at = F.shiftleft(F.shiftright("order", 1), 13) + F.shiftleft(s, 7) + F.shiftleft(e, 1) + F.col("order").bitwiseAND(F.lit(1))
+    inner = (_bit(e) - F.lit(1)).bitwiseAND(F.bitwise_not(_bit(s + 1) - F.lit(1)))
+    more = [] if model.kind == BPE else ["s", "e", "score"]
+    return found.groupBy(*keys).agg(*carried, F.sort_array(F.collect_list(F.struct(at.alias("at"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), inner.alias("inner"), *more))).alias("edges"))
+
+
+def _fits(bounds: Column, edge: Column) -> Column:
+    """Whether an edge joins two neighbours: its ends are boundaries, and one boundary lies between them."""
+    return (bounds.bitwiseAND(edge["ends"]) == edge["ends"]) & (F.bit_count(bounds.bitwiseAND(edge["inner"])) == 1)
+
+
+def _one_pass(size: Column) -> Column:
+    """Boundaries (bits) after each edge, best first, has been merged where it fits; with the bit AGAIN if a late piece was merged."""
+    return F.aggregate("edges", _bit(size + 1) - F.lit(1), lambda bounds, e: F.when(_fits(bounds, e), bounds.bitwiseAND(F.bitwise_not(e["inner"])).bitwiseOR(F.shiftleft(e["at"].bitwiseAND(F.lit(1)), AGAIN))).otherwise(bounds))
+
+
 def _merge_fold(size: Column) -> Column:
-    """Boundaries (bits) left once the best merge of two neighbours has been made again and again, over `masked` edges."""
-    none = F.lit(0).cast("long")
+    """Boundaries (bits) left once the best merge of two neighbours has been made again and again."""
 
     def step(bounds: Column, _: Column) -> Column:
-        fit = F.filter("masked", lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1))
-        return bounds.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fit, F.lit(0))["inner"], none)))
+        best = F.get(F.filter("edges", lambda e: _fits(bounds, e)), F.lit(0))
+        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
 
     return F.aggregate(F.sequence(F.lit(1), size - 1), _bit(size + 1) - F.lit(1), step)
 
 
-def _masked(edges: Column) -> Column:
-    """ends: the bits of an edge's two ends; inner: those between them."""
-    return F.transform(
-        edges,
-        lambda x: F.struct(
-            _bit(x["s"]).bitwiseOR(_bit(x["e"])).alias("ends"), (_bit(x["e"]) - F.lit(1)).bitwiseAND(F.bitwise_not(_bit(x["s"] + 1) - F.lit(1))).alias("inner")
-        ),
-    )
-
-
 def _viterbi_fold(size: Column, low: float) -> Column:
     """Boundaries (bits) of the best-scored path over `edges` and `singles` (score of each character alone, null where it has no piece)."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("bounds")))
@@ -186,7 +207,7 @@ def _viterbi_fold(size: Column, low: float) -> Column:
         def via(at: Column, score: Column) -> Column:
             return F.struct((F.get(paths, at)["score"] + score).alias("score"), F.get(paths, at)["bounds"].bitwiseOR(_bit(end)).alias("bounds"))
 
-        longer = F.transform(F.array_sort(F.filter("edges", lambda x: x["e"] == end), lambda a, b: a["s"] - b["s"]), lambda x: via(x["s"], -x["rank"]))
+        longer = F.transform(F.array_sort(F.filter("edges", lambda x: x["e"] == end), lambda a, b: a["s"] - b["s"]), lambda x: via(x["s"], x["score"]))
         options = F.concat(longer, F.array(via(end - 1, F.coalesce(F.get("singles", end - 1), F.lit(low)))))
         worst = F.struct(F.lit(float("-inf")).alias("score"), F.lit(0).cast("long").alias("bounds"))
         return F.concat(paths, F.array(F.aggregate(options, worst, lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))))
@@ -194,17 +215,18 @@ def _viterbi_fold(size: Column, low: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda paths: F.element_at(paths, -1)["bounds"])
 
 
-def segment(words: DataFrame, path: str) -> DataFrame:
-    """word, bounds for distinct words of 2 to LONGEST characters: bit i is set where a piece begins at character i, and at the word's end.
+def segment(words: DataFrame, path: str, keys: list[str] | None = None, carried: list[Column] | None = None) -> DataFrame:
+    """keys (word among them), carried, bounds for words of 2 to LONGEST characters: bit i is set where a piece begins at character i, and at the word's end.
     A word that holds no piece of two characters is left out: each of its characters stands alone."""
-    model, size = load(path), F.length("word")
-    table = words.sparkSession.createDataFrame([(p, model.scores[i]) for p, i in model.ids.items() if len(p) > 1], "piece string, score double")
-    edged = _edges(words, table, model.longest)
+    model, size, keys, carried = load(path), F.length("word"), keys or ["word"], carried or []
+    edged = _edges(words, model, keys, carried)
+    others = [c for c in edged.columns if c != "edges"]
     if model.kind == BPE:
-        return edged.withColumn("masked", _masked(F.col("edges"))).select("word", _merge_fold(size).alias("bounds"))
+        once = edged.withColumn("once", _one_pass(size))
+        return once.select(*others, F.when(F.col("once") < (1 << AGAIN), F.col("once")).otherwise(_merge_fold(size)).alias("bounds"))
     singles = F.create_map(*[F.lit(x) for p, i in model.ids.items() if len(p) == 1 for x in (p, model.scores[i])])
     alone = F.transform(F.split("word", ""), lambda c: F.try_element_at(singles, c))
-    return edged.withColumn("singles", alone).select("word", _viterbi_fold(size, _lowest(model)).alias("bounds"))
+    return edged.withColumn("singles", alone).select(*others, _viterbi_fold(size, _lowest(model)).alias("bounds"))
 
 
 def _lowest(model: PieceModel) -> float:
@@ -215,9 +237,13 @@ def _lowest(model: PieceModel) -> float:
 class Segments(dict):
     """word -> ids (little-endian 32-bit), from the boundaries of the words given; others are segmented here, to the same result."""
 
-    def __init__(self, path: str, words: list[str], bounds: list[int | None]):
+    def __init__(self, path: str, packed: list[str]):
         super().__init__()
-        self.model, self.bounds = load(path), dict(zip(words, bounds, strict=True))
+        self.model, self.bounds = load(path), {}
+        for some in packed:
+            for row in some.split("\n"):
+                word, _, bounds = row.rpartition("\t")
+                self.bounds[word] = bounds
 
     def symbol_ids(self, symbol: str) -> list[int]:
         at = self.model.ids.get(symbol)
@@ -228,8 +254,9 @@ class Segments(dict):
         return [self.model.unknown]
 
     def __missing__(self, word: str) -> bytes:
-        bounds = self.bounds.get(word)
-        if bounds is not None:
+        found = self.bounds.pop(word, None)
+        if found is not None:
+            bounds = int(found, 16)
             at = [i for i in range(len(word) + 1) if bounds >> i & 1]
             symbols = [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         else:
@@ -255,7 +282,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, block_chars: int) -
     """Each batch with its block: a run of rows of one input partition with about block_chars characters."""
     from pyspark import TaskContext
 
-    first, chars = TaskContext.get().partitionId() << 20, 0
+    first, chars = TaskContext.get().partitionId() << RUN_BITS, 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             piece = batch.slice(at, 256)
@@ -271,14 +298,18 @@ def encode(docs: DataFrame, path: str, digest: bool = False, block_chars: int =
     or the unknown piece; an empty table gives none. Other columns are not read.
     """
     model = load(path)
+    n_buckets = max(BUCKETS, 16 * shuffle_width(docs.sparkSession))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[str] = set()
         now = None
 
         def out() -> pa.RecordBatch:
-            held = [w for w in met if 1 < len(w) <= LONGEST]
-            return pa.RecordBatch.from_pydict({"block": pa.array([now] * len(held), pa.int64()), "word": pa.array(held, pa.string())})
+            buckets: dict[int, list[str]] = {}
+            for w in sorted(w for w in met if 1 < len(w) <= LONGEST and "\n" not in w):
+                buckets.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % n_buckets, []).append(w)
+            rows = ["\n".join(b) for b in buckets.values()]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int32()), "block": pa.array([now] * len(rows), pa.int64()), "words": pa.array(rows, pa.string())})
 
         for block, batch in _blocks(batches, 0, block_chars):
             if block != now and met:
@@ -307,7 +338,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False, block_chars: int =
     def build(texts: pa.Table, segments: pa.Table) -> pa.Table:
         import zstandard
 
-        known = Segments(path, segments["word"].to_pylist(), segments["bounds"].to_pylist())
+        known = Segments(path, segments["packed"].to_pylist())
         decoder, doc_ids, counts, ids, back = Decoder(path), [], [], [], []
         for row_ids, sizes, raw in zip(texts["doc_ids"].to_pylist(), texts["sizes"].to_pylist(), texts["texts"].to_pylist(), strict=True):
             raw, at = zstandard.ZstdDecompressor().decompress(raw), 0
@@ -327,12 +358,22 @@ def encode(docs: DataFrame, path: str, digest: bool = False, block_chars: int =
             return pa.table(out | {"ids_crc32": pa.array(ids, pa.int64()), "text_crc32": pa.array(back, pa.int64())})
         return pa.table(out | {"ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    pairs = docs.select("text").mapInArrow(words, "block long, word string").repartition("word")
-    found = segment(pairs.select("word").distinct(), path)
-    segments = pairs.join(found, "word").select("block", "word", "bounds")
+    # words travel by bucket and stay there: what follows is grouped within buckets
+    dealt = docs.select("text").mapInArrow(words, "bucket int, block long, words string").repartition(n_buckets // 4, "bucket")
+    pairs = dealt.select("bucket", "block", F.explode(F.split("words", "\n")).alias("word"))
+    # a word is segmented once for TOGETHER input partitions; `in_` has a bit for each that holds it
+    part, run = F.shiftright("block", RUN_BITS), F.col("block").bitwiseAND(F.lit((1 << RUN_BITS) - 1))
+    near = F.shiftleft(F.floor(part / TOGETHER).cast("long"), RUN_BITS) + run
+    distinct = pairs.groupBy("bucket", "word", near.alias("near")).agg(F.bit_or(_bit(part % TOGETHER)).alias("in_"))
+    found = segment(distinct, path, ["bucket", "word", "near"], [F.first("in_").alias("in_")])
+    row = F.concat("word", F.lit("\t"), F.hex("bounds"))
+    holds = F.filter(F.sequence(F.lit(0), F.lit(TOGETHER - 1)), lambda i: F.col("in_").bitwiseAND(_bit(i)) != 0)
+    each = found.select("bucket", "near", F.explode(holds).alias("i"), row.alias("row"))
+    at = F.shiftleft(F.shiftright("near", RUN_BITS) * TOGETHER + F.col("i"), RUN_BITS) + F.col("near").bitwiseAND(F.lit((1 << RUN_BITS) - 1))
+    segments = each.groupBy("bucket", at.alias("block")).agg(F.array_join(F.collect_list("row"), "\n").alias("packed"))
     texts = docs.select("doc_id", "text").mapInArrow(packed, "block long, doc_ids array<long>, sizes array<long>, texts binary")
     schema = "doc_id long, n_pieces long, " + ("ids_crc32 long, text_crc32 long" if digest else "ids array<int>")
-    return texts.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(build, schema)
+    return texts.groupBy("block").cogroup(segments.select("block", "packed").groupBy("block")).applyInArrow(build, schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
