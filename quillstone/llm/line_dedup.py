@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, slices
+from .common import WORD, cut, documents, slices
 from .linkage import Store, connect, passes, row_filter, sketch
 from .shingles import mixed
 
@@ -81,34 +81,39 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+
+        def rows(of: list[tuple], nodes: list[int], places: list[int], new: list[str | None]) -> pa.RecordBatch:
+            fresh = [x for x in new if x is not None]
+            flat = min_hash_keys(fresh).reshape(-1) if fresh else np.zeros(0, np.int64)
+            has = np.array([x is not None for x in new])
+            ends = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~has, False)), pa.array(flat))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([d for d, _ in of], pa.int64()), pa.array([k for _, k in of], pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64()), keys],
+                names=["doc_id", "doc_key", "line_no", "node", "keys"],
+            )
+
         for batch in slices(batches):
-            held: dict[str, list] = {"doc_id": [], "doc_key": [], "line_no": [], "node": [], "line": []}
-            n = 0
-
-            def flush() -> pa.RecordBatch:
-                new = [i for i, x in enumerate(held["line"]) if x is not None]
-                keys: list = [None] * len(held["line"])
-                if new:
-                    for i, k in zip(new, min_hash_keys([held["line"][i] for i in new]), strict=True):
-                        keys[i] = k
-                kinds = {"doc_id": pa.int64(), "doc_key": pa.int64(), "line_no": pa.int32(), "node": pa.int64()}
-                return pa.RecordBatch.from_pydict({c: pa.array(held[c], t) for c, t in kinds.items()} | {"keys": pa.array(keys, pa.list_(pa.int64()))})
-
-            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            of, nodes, places, new, chars = [], [], [], [], 0
+            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for at, line in enumerate((text or "").split("\n")):
-                    if not line.strip(" \t\x0b\x0c\r"):
+                    if not line or line.isspace() and not line.strip(" \t\x0b\x0c\r"):
                         continue
                     node = line_hash(line)
-                    for c, v in (("doc_id", doc_id), ("doc_key", key), ("line_no", at), ("node", node), ("line", None if node in met else line)):
-                        held[c].append(v)
-                    if node not in met:
-                        met.add(node)
-                        n += len(line)
-                    if n > CHUNK or len(held["node"]) > 50_000:
-                        yield flush()
-                        held, n = {c: [] for c in held}, 0
-            if held["node"]:
-                yield flush()
+                    of.append((doc_id, key))
+                    nodes.append(node)
+                    places.append(at)
+                    if node in met:
+                        new.append(None)
+                        continue
+                    met.add(node)
+                    new.append(line)
+                    chars += len(line)
+                    if chars > CHUNK:
+                        yield rows(of, nodes, places, new)
+                        of, nodes, places, new, chars = [], [], [], [], 0
+            if nodes:
+                yield rows(of, nodes, places, new)
 
     return docs.select("doc_id", _doc_key().alias("doc_key"), "text").mapInArrow(make, "doc_id long, doc_key long, line_no int, node long, keys array<long>")
 
@@ -178,31 +183,30 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the lines that repeat an earlier one taken out of `text`, n_lines (with a word) and n_dropped.
+    """docs with the lines that repeat an earlier one taken out of `text`, and n_dropped, how many those are.
 
     Of each component of similar lines the first by (doc_id, text hash, line) stays; lines without a
     word always stay. A null or empty text has no lines and is returned as it is; rows of equal id and text are one document and come out alike; an
-    empty table gives none; all other columns are passed through, but for those named n_lines and n_dropped.
+    empty table gives none; all other columns are passed through, but for one named n_dropped.
     """
     drops = repeated_lines(docs).where("not first").groupBy("doc_key").agg(F.collect_set("line_no").alias("drop_at"))
-    keyed = docs.drop("n_lines", "n_dropped").withColumn("_key", _doc_key())
+    keyed = docs.drop("n_dropped").withColumn("_key", _doc_key())
     joined = keyed.join(drops.withColumnRenamed("doc_key", "_key"), "_key", "left")
     lines = F.split(F.col("text"), "\n", -1)
-    n_lines = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0))  # from a line's first word to its end
     kept = F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop_at", i)), "\n")
     )
-    return joined.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce(F.size("drop_at"), F.lit(0))).withColumn("text", kept).drop("_key", "drop_at")
+    return joined.withColumn("n_dropped", F.coalesce(F.size("drop_at"), F.lit(0))).withColumn("text", kept).drop("_key", "drop_at")
 
 
 def keep_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated lines taken out and n_chars, where there is one, brought up to date; documents of which no line is left go."""
-    left = dedup_lines(docs).where("n_lines = 0 or n_dropped < n_lines")
+    left = dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select([c for c in docs.columns if c in left.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What line deduplication leaves of every document: doc_id, n_lines, n_dropped, and the text."""
-    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")
+    """What line deduplication leaves of every document: doc_id, n_dropped, and the text."""
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_dropped", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")

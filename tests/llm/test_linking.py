@@ -169,10 +169,10 @@ def test_lines(spark):
         copy[rng.randrange(40)] = f"edit{i % 4}"
         rows.append((i, "\n".join([own[0], rng.choice(common), "", own[1], " ".join(copy), own[2]])))
     rows += [(100, ""), (101, None), (102, "ab"), (103, "ab"), (104, "\n \n"), (105, "x" * 20_000)]
-    table = spark.createDataFrame([(i, t, 7, 8) for i, t in rows], "doc_id long, text string, n_lines int, other int").repartition(3)
+    table = spark.createDataFrame([(i, t, 7, 8) for i, t in rows], "doc_id long, text string, n_dropped int, other int").repartition(3)
     got = line_dedup.dedup_lines(table)
     assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows)
-    assert set(got.columns) == {"doc_id", "text", "n_lines", "other", "n_dropped"}
+    assert set(got.columns) == {"doc_id", "text", "other", "n_dropped"}
     assert line_dedup.dedup_lines(table.limit(0)).count() == 0
     twice = line_dedup.dedup_lines(spark.createDataFrame([(1, "a line of text"), (1, "a line of text")], "doc_id long, text string")).collect()
     assert [r.text for r in twice] == ["a line of text"] * 2
