@@ -143,19 +143,30 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float
     before = F.sum("words").over(W.partitionBy("pattern").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
     cells = cells.select("pattern", "cell", F.coalesce(before, F.lit(0)).alias("offset")).join(plan_df, "pattern")
     inside = F.coalesce(F.sum("size").over(W.partitionBy("pattern", "cell").orderBy("u", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("inside", inside).join(cells, ["pattern", "cell"])
-    middle = F.col("offset") + F.col("inside") + F.col("size") / 2
+    total, supply, size = F.element_at("ends", -1), F.col("supply"), F.col("size")
+    whole = F.when(supply > 0, F.floor(total / F.greatest(supply, F.lit(1)) + 1e-9)).otherwise(0)  # uses of every document
+    placed = rows.withColumn("inside", inside).join(cells, ["pattern", "cell"]).withColumn("pos", F.col("offset") + F.col("inside"))
+    placed = cut(placed.withColumn("whole", whole).withColumn("fits", F.col("pos") + size <= total - F.col("whole") * supply))
+
+    def by_cell(values: dict, kind: str) -> DataFrame:  # joined on pattern and cell, as no pattern's rows may meet in one task
+        table = spark.createDataFrame([(list(p), v) for p, v in values.items()], f"pattern array<string>, value {kind}")
+        return cells.select("pattern", "cell").join(table, "pattern")
+
+    # in the last round of uses the documents in order are taken while they fit, then the one that comes nearest to what is left
+    ends = {tuple(r.pattern): r for r in placed.groupBy("pattern").agg(F.max(F.when(F.col("fits"), F.col("pos") + size)).alias("end"), F.first(total - F.col("whole") * supply).alias("goal")).collect()}
+    left = {p: float(r.goal - (r.end or 0)) for p, r in ends.items()}
+    gap = F.struct(F.abs(size - F.col("value")).alias("gap"), "pos")
+    nearest = placed.where(~F.col("fits") & (size > 0)).join(by_cell(left, "double"), ["pattern", "cell"]).groupBy("pattern").agg(F.min(gap).alias("best")).collect()
+    fill = dict.fromkeys(left) | {tuple(r.pattern): r.best.pos for r in nearest if r.best.gap < left[tuple(r.pattern)]}
+    last = F.col("fits") | F.coalesce((F.col("pos") == F.col("value")) & (size > 0), F.lit(False))
+    position = lambda r: F.size(F.filter("ends", lambda e: e <= r * supply + F.col("pos") + size / 2))
     uses = F.filter(
-        F.transform(
-            F.array(*[F.lit(r) for r in range(repeats)]),
-            lambda r: F.when(r * F.col("supply") + middle < F.element_at("ends", -1), F.size(F.filter("ends", lambda e: e <= r * F.col("supply") + middle))),
-        ),
+        F.transform(F.array(*[F.lit(r) for r in range(repeats)]), lambda r: F.when((r < F.col("whole")) | ((r == F.col("whole")) & last), F.least(position(r), F.size("ends") - 1))),
         lambda i: i.isNotNull(),
     )
-    placed = placed.withColumn("use_at", uses)
-    return placed.select(
+    return placed.join(by_cell(fill, "long"), ["pattern", "cell"]).withColumn("use_at", uses).select(
         "doc_id", "size", "pattern", "text_key", "source_sizes", "targets",
-        (F.col("size") * F.size("use_at")).cast("long").alias("taken"),
+        (size * F.size("use_at")).cast("long").alias("taken"),
         F.transform("use_at", lambda i: F.get("pattern", i)).alias("uses"),
     )
 
