@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, slices
-from .linkage import Store, connect, may_link, passes, row_filter, sketch
+from .linkage import Store, aligned, connect, may_link, passes, row_filter, sketch
 from .shingles import mixed, shingle_set
 
 #: Differences up to which parts are cut in three rather than two (longer signatures, more of them).
@@ -116,8 +116,8 @@ def _near(num: int, den: int):
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.uint64) for c in ("xa", "xb"))
-            yield b.filter(pa.array(may_link(x, y, b["na"].to_numpy(), b["nb"].to_numpy(), num, den))).select(["a", "b", "da", "db"])
+            ok = [may_link(*np.split(aligned([x, y]), 2), n, m, num, den)[0] for x, y, n, m in zip(*(b[c].to_pylist() for c in ("xa", "xb", "na", "nb")), strict=True)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b", "da", "db"])
 
     return keep
 

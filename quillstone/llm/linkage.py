@@ -22,7 +22,7 @@ from .common import cut
 
 #: Bits of the filter that tells which rows a second pass over the texts has to prepare; it goes to every executor.
 FILTER_BITS = 1 << 23
-#: Bits of a parity sketch; nodes of a key that are compared at once.
+#: Bits of a parity sketch of a small set; nodes of a key that are compared at once.
 CELLS, BLOCK = 2048, 1024
 
 
@@ -79,7 +79,7 @@ def _across(num: int, den: int, once: bool):
             i, j, hub = table["i"][0].as_py(), table["j"][0].as_py(), table["hub"][0].as_py()
             if (root == root[0]).all() or len(node) == 2 and hub in node:
                 continue
-            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+            bits = aligned(table["bits"].to_pylist())
             own, key = [set(k) for k in table["all_keys"].to_pylist()] if once else [], table["key"][0].as_py()
             roots, sizes = np.unique(root, return_counts=True)
             main = roots[np.argmax(sizes)]
@@ -149,13 +149,30 @@ class Store:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """For each of CELLS cells whether an odd number of a set's 64-bit hashes fall into it. Two sets differ in at least as many features as their sketches do in bits."""
-    odd = np.bincount((hashes >> np.uint64(53)).astype(np.int64), minlength=CELLS) & 1
+    """For each cell whether an odd number of a set's 64-bit hashes fall into it; four times the cells for sets of over CELLS, and again.
+    Two sets differ in at least as many features as their sketches do in bits."""
+    fine = sum(len(hashes) > CELLS << 2 * i for i in range(2))
+    cells = CELLS << 2 * fine
+    odd = np.bincount((hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def coarser(bits: bytes, size: int) -> bytes:
+    """The sketch in `size` bytes: neighbouring cells are joined."""
+    if len(bits) == size:
+        return bits
+    cells = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).reshape(8 * size, -1)
+    return np.packbits((cells.sum(axis=1) & 1).astype(bool)).tobytes()
+
+
+def aligned(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, in the size of the smallest."""
+    size = min(map(len, sketches))
+    return np.frombuffer(b"".join(coarser(x, size) for x in sketches), dtype=np.uint64).reshape(len(sketches), -1)
+
+
 def may_link(bits: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sets of n and m features with such sketches (as 64-bit words) may have the similarity num / den."""
+    """Whether sets of n and m features with such sketches may have the similarity num / den."""
     differ = np.bitwise_count(bits ^ other).sum(axis=1, dtype=np.int64)
     return (den + num) * differ <= (den - num) * (n + m)
 
