@@ -35,7 +35,7 @@ BLOCK_CHARS = 32_000_000
 UNIGRAM, BPE = 1, 2
 #: Number of the bit of a fold's result that asks for the longer fold; least number of buckets that words are dealt to; input partitions whose words are segmented
 #: together; bits of a block's number that tell the runs of one partition apart.
-AGAIN, BUCKETS, TOGETHER, RUN_BITS = 62, 512, 64, 20
+AGAIN, BUCKETS, TOGETHER, RUN_BITS = 62, 512, 32, 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -254,15 +254,24 @@ class Segments(dict):
         return [self.model.unknown]
 
     def __missing__(self, word: str) -> bytes:
-        found = self.bounds.pop(word, None)
+        found, ids, known = self.bounds.pop(word, None), [], self.model.ids.get
         if found is not None:
-            bounds = int(found, 16)
-            at = [i for i in range(len(word) + 1) if bounds >> i & 1]
-            symbols = [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            left, start, end = int(found, 16) >> 1, 0, 1
+            while left:
+                if left & 1:
+                    at = known(word[start:end])
+                    if at is None:
+                        ids += self.symbol_ids(word[start:end])
+                    else:
+                        ids.append(at)
+                    start = end
+                left >>= 1
+                end += 1
         else:
-            symbols = [word] if len(word) == 1 else (merge_long if self.model.kind == BPE else best_long)(word, self.model)
-        self[word] = ids = array("I", [i for s in symbols for i in self.symbol_ids(s)]).tobytes()
-        return ids
+            for symbol in [word] if len(word) == 1 else (merge_long if self.model.kind == BPE else best_long)(word, self.model):
+                ids += self.symbol_ids(symbol)
+        self[word] = coded = array("I", ids).tobytes()
+        return coded
 
 
 class Decoder:
