@@ -19,8 +19,8 @@ from .common import WORD, cut, documents, slices
 from .linkage import Store, connect, passes, row_filter, sketch
 from .shingles import mixed
 
-#: Characters a shingle, least similarity as num/den, bands and MinHash values a band: at a similarity of 0.8 a pair meets with a chance of 0.991, at 0.85 of 0.999.
-SHINGLE, NUM, DEN, BANDS, ROWS = 7, 80, 100, 9, 4
+#: Characters a shingle, least similarity as num/den, bands and MinHash values a band: at a similarity of 0.8 a pair meets with a chance of 0.998, at 0.85 of 0.9999.
+SHINGLE, NUM, DEN, BANDS, ROWS = 7, 80, 100, 12, 4
 #: Characters worked on at once.
 CHUNK = 1 << 20
 

@@ -178,6 +178,20 @@ def test_lines(spark):
     assert [r.text for r in twice] == ["a line of text"] * 2
 
 
+def test_lines_at_the_threshold_meet():
+    rng = random.Random(11)
+    letters = [chr(x) for x in range(0x4E00, 0x9FA5)]  # so many that no shingle comes twice
+    draw = lambda n: "".join(rng.choices(letters, k=n))
+    lines = []
+    for _ in range(3000):
+        both = draw(166)
+        lines += [both + draw(20), both + draw(20)]  # 160 of 200 shingles in common
+    assert all(line_dedup.similar(a, b) for a, b in zip(lines[:40:2], lines[1:40:2], strict=True))
+    keys = line_dedup.min_hash_keys(lines)
+    missed = (~(keys[::2] == keys[1::2]).any(axis=1)).sum()
+    assert missed <= 12  # of 3000 pairs 5 are due with 12 bands of 4, 26 with 9
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8) * (rng.random(8) < 0.4)]) for i in range(300)] + [(300, [1.0] * 3), (301, None), (302, [float("nan")] * 8), (303, [1.0, None]), (304, []), (40, [9.0] * 8), (305, [0.0] * 8)]
