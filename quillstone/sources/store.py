@@ -157,7 +157,7 @@ class Store:
     def _near(self, fresh: DataFrame, chunks: DataFrame, known: DataFrame) -> dict[str, list[Row]]:
         numbers = {r.id: n for n, r in enumerate(fresh.select("id").collect())}
         numbered = self.spark.createDataFrame([(n, i) for i, n in numbers.items()], "query_id long, own string")
-        drafts = numbered.join(chunks.where("chunk_no = 0").withColumnRenamed("id", "own"), "own").join(fresh.select(F.col("id").alias("own"), F.col("project").alias("grp")), "own")
+        drafts = numbered.join(chunks.withColumnRenamed("id", "own"), "own").join(fresh.select(F.col("id").alias("own"), F.col("project").alias("grp")), "own")
         keyed, names = _numbered(known)
         store = self.table("chunks").withColumnRenamed("id", "name").join(names, "name").select(F.col("number").alias("id"), "vec")
         found = search.near_duplicates(drafts.select("query_id", "vec", "grp"), store, keyed).join(names.withColumnRenamed("number", "id"), "id").orderBy("rank").collect()

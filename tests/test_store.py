@@ -57,6 +57,13 @@ def test_store_life(spark, tmp_path):
         Store(spark, str(tmp_path / "other"), create=False)
 
 
+def test_near_copy_in_a_later_window(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), WordAxisEmbedder(GROUPS), create=True)
+    kept = store.remember(Draft("engine notes", "p"), Draft("fast", "p"), Draft("engine", "q"))[0]
+    draft = store.remember(Draft("cat " * 446 + "engine " * 200, "p"), similar=True)[0]
+    assert [(r["name"], r["score"]) for r in draft.similar] == [(kept.id, 1.0)]  # once, by the second window; the first has 0.14
+
+
 def test_half_written_snapshot_is_not_seen(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path / "s"), create=True)
     store.remember(Draft("kept"))
