@@ -208,5 +208,7 @@ def keep_lines(docs: DataFrame) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What line deduplication leaves of every document: doc_id, n_dropped, and the text."""
-    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_dropped", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")
+    """What line deduplication leaves of every document: doc_id, n_lines (with a word, before), n_dropped, and the text."""
+    kept = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0))  # from a line's first word to its end
+    out = dedup_lines(documents(spark, sf_dir)).withColumn("n_lines", kept + F.col("n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")

@@ -178,6 +178,13 @@ def test_lines(spark):
     assert [r.text for r in twice] == ["a line of text"] * 2
 
 
+def test_lines_are_counted(spark, tmp_path):
+    texts = ["a line of text\n \nanother", "a line of text\n\n\u00a0\n\x1c", "\t\r\x0b\x0c", "", None, "a line of text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 0), 1: (3, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1)}
+
+
 def test_lines_at_the_threshold_meet():
     rng = random.Random(11)
     letters = [chr(x) for x in range(0x4E00, 0x9FA5)]  # so many that no shingle comes twice
