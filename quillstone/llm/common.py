@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,25 +20,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: The setting under which a query's shuffle files go as soon as its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none (tests)."""
+    """The folder that driver and executors share; where the session names none, one is made in local mode (tests), and a cluster is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, so that lost executors lose nothing of it."""
+    """df computed once and kept in the shared checkpoint folder, so that lost executors lose nothing of it; its shuffle files, which nothing reads again, go."""
     spark = df.sparkSession
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    with _tidy(spark):
+        return df.select("*").checkpoint(eager=True)
 
 
 def unit(*columns: Column | str, seed: int = 0) -> Column:

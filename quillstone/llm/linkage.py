@@ -22,8 +22,8 @@ from .common import cut
 
 #: Bits of the filter that tells which rows a second pass over the texts has to prepare; it goes to every executor.
 FILTER_BITS = 1 << 23
-#: Bits of a parity sketch of a small set; nodes of a key that are compared at once.
-CELLS, BLOCK = 2048, 1024
+#: Least and most bits of a parity sketch; nodes of a key that are compared at once.
+CELLS, MOST_CELLS, BLOCK = 256, 8192, 1024
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -149,10 +149,9 @@ class Store:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """For each cell whether an odd number of a set's 64-bit hashes fall into it; four times the cells for sets of over CELLS, and again.
+    """For each cell whether an odd number of a set's 64-bit hashes fall into it; twice the cells for sets of over CELLS / 2, and so on.
     Two sets differ in at least as many features as their sketches do in bits."""
-    fine = sum(len(hashes) > CELLS << 2 * i for i in range(2))
-    cells = CELLS << 2 * fine
+    cells = min(MOST_CELLS, max(CELLS, 1 << (2 * len(hashes) - 1).bit_length()))
     odd = np.bincount((hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 

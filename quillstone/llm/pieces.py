@@ -74,16 +74,19 @@ def load(path: str) -> PieceModel:
     )
 
 
-#: A letter; anything else but a space or a line end.
-_LETTER, _OTHER = r"[^\W\d_]", f"(?:[\\d_]|[^\\w{SPACE}\\n])"
-
-
 def _words(pieces: dict[str, int]) -> re.Pattern:
-    """No piece goes on before a space. Where no piece holds a line end, or both letters and others, words end there too."""
-    bare = [p.lstrip(SPACE) for p in pieces]
-    apart = all(re.fullmatch(f"{_LETTER}*|{_OTHER}*", p) for p in bare)
+    """No piece goes on before a space. Where no piece holds a line end, or both letters and others, words end there too.
+    A letter-like sign that pieces put beside others but never beside letters (a raised digit) counts as another."""
+    bare, odd = [p.lstrip(SPACE) for p in pieces], set()
+    letter = lambda c: c not in odd and re.match(r"[^\W\d_]", c) is not None
+    crossing = lambda: [(a, b) for p in bare for a, b in zip(p[:-1], p[1:], strict=True) if letter(a) != letter(b)]
+    odd |= {c for ab in crossing() for c in ab if letter(c) and not c.isalpha()}
     line = "" if any("\n" in p for p in bare) else "\n"
-    inside = f"{SPACE}*{_LETTER}+|{SPACE}*{_OTHER}+" if apart and line else f"{SPACE}*[^{SPACE}{line}]+"
+    if crossing() or not line:
+        inside = f"{SPACE}*[^{SPACE}{line}]+"
+    else:
+        more = re.escape("".join(sorted(odd)))
+        inside = f"{SPACE}*[^\\W\\d_{more}]+|{SPACE}*(?:[^\\w{SPACE}\\n]|[\\d_{more}])+"
     return re.compile(f"{inside}|{line}|{SPACE}+" if line else f"{inside}|{SPACE}+")
 
 
