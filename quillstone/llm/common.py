@@ -58,6 +58,11 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df in one, `row`, out of the way of names that an operator adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 def unit(*columns: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) fixed by the columns and the seed, the same in every run and partitioning."""
     h = F.xxhash64(F.lit(seed), *columns)

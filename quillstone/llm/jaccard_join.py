@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, slices
+from .common import cut, documents, slices, whole_row
 from .linkage import Store, aligned, connect, may_link, passes, row_filter, sketch
 from .shingles import mixed, shingle_set
 
@@ -83,7 +83,7 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Per row: set size, node (hash of the set; null where empty), a second hash, count sketch and signatures (null where the task has met the set before)."""
+    """Per row: set size, node (hash of the set; null where empty), a second hash, parity sketch and signatures (null where the task has met the set before)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, met = Bands(num, den), set()
@@ -96,8 +96,8 @@ def features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
                     node, check = _signed(whole), _signed(whole >> 64)
                     bits = sketch(s)
-                    if node not in met:
-                        met.add(node)
+                    if whole not in met:
+                        met.add(whole)
                         keys = np.unique(signatures(s, bands)).view(np.int64)
                 for c, v in zip(cols, (len(s), node, check, bits, keys), strict=True):
                     cols[c].append(v)
@@ -141,21 +141,31 @@ def _linked(num: int, den: int):
 
 
 def _sets(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
-    """node and set of the documents that pass the filter."""
+    """node, check and set of the documents that pass the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             chosen = batch.filter(pa.array(passes(sent.value, batch.column(0).to_numpy(zero_copy_only=False))))
-            nodes, sets = [], []
+            nodes, checks, sets = [], [], []
             for text in chosen.column(1).to_pylist():
                 s = shingle_set(text, width)
                 if len(s):
-                    nodes.append(_signed(xxhash.xxh3_128_intdigest(s.tobytes())))
+                    whole = xxhash.xxh3_128_intdigest(s.tobytes())
+                    nodes.append(_signed(whole))
+                    checks.append(_signed(whole >> 64))
                     sets.append(s.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "features": pa.array(sets, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "check": pa.array(checks, pa.int64()), "features": pa.array(sets, pa.binary())})
+
+    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(make, "node long, check long, features binary")
+
 
-    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(make, "node long, features binary")
+def _told_apart(rows: DataFrame, twins: DataFrame | None) -> DataFrame:
+    """rows (node, check) with another node where the set shares its 64 bits with one of a smaller check. twins: (node, low)."""
+    if twins is None:
+        return rows
+    other = F.when(F.col("check") != F.col("low"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return rows.join(twins, "node", "left").withColumn("node", other).drop("low")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -167,12 +177,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     columns are not read.
     """
     found = cut(features(docs, width, num, den))
-    nodes = found.where("node is not null").groupBy("node").agg(
-        F.min("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc")
-    )
-    nodes = cut(nodes)
-    if nodes.where("low <> high").limit(1).count():
-        raise RuntimeError("two shingle sets share a 64-bit hash; run again with another shingle width or hash")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        return cut(rows.where("node is not null").groupBy("node").agg(
+            F.min("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc")
+        ))
+
+    nodes, twins = sets_of(found), None
+    if nodes.where("low <> high").limit(1).count():  # sets that share 64 of their 128 bits are told apart by the other 64
+        twins = cut(nodes.where("low <> high").select("node", "low"))
+        found = cut(_told_apart(found, twins))
+        nodes = sets_of(found)
+        if nodes.where("low <> high").limit(1).count():
+            raise RuntimeError("two shingle sets share all 128 bits of their hashes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("doc").alias("da"))
@@ -180,7 +197,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         sized = pairs.join(a, "a").join(b, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
         near = cut(sized.select("a", "b", "na", "nb", "xa", "xb", "da", "db").mapInArrow(_near(num, den), "a long, b long, da long, db long"))
         wanted = row_filter(near.select(F.col("da").alias("d")).union(near.select("db")), F.xxhash64("d"))
-        sets = _sets(docs, wanted, width)
+        sets = _told_apart(_sets(docs, wanted, width), twins)
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
         sets = cut(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]))
         xa = sets.select(F.col("node").alias("a"), F.col("features").alias("xa"))
@@ -196,13 +213,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs but for those linked to a row of a smaller doc_id; of rows of equal id and text one stays. Rows of null id stay."""
+    """The rows of docs but for those linked to a row of a smaller doc_id; of rows of equal id and text one stays, whichever. All columns are returned, whatever
+    their names. Rows of null id stay, as do null, empty and blank texts; an empty table gives none."""
     groups = cut(jaccard_components(docs, width, num, den))
     gone = groups.where("n_shingles > 0 and component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.select("doc_id", F.xxhash64("text").alias("text_key"), whole_row(docs)).join(gone, "doc_id", "left_anti")
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return kept
+        kept = kept.dropDuplicates(["doc_id", "text_key"])
+    return kept.select("row.*")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, slices
+from .common import WORD, cut, documents, slices, whole_row
 from .linkage import Store, connect, passes, row_filter, sketch
 from .shingles import mixed
 
@@ -190,21 +190,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     empty table gives none; all other columns are passed through, but for one named n_dropped.
     """
     drops = repeated_lines(docs).where("not first").groupBy("doc_key").agg(F.collect_set("line_no").alias("drop_at"))
-    keyed = docs.drop("n_dropped").withColumn("_key", _doc_key())
-    joined = keyed.join(drops.withColumnRenamed("doc_key", "_key"), "_key", "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop_at", i)), "\n")
+    joined = docs.select(_doc_key().alias("doc_key"), whole_row(docs)).join(drops, "doc_key", "left")
+    text = F.col("row.text")
+    kept = F.when(F.col("drop_at").isNull(), text).otherwise(
+        F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("drop_at", i)), "\n")
     )
-    return joined.withColumn("n_dropped", F.coalesce(F.size("drop_at"), F.lit(0))).withColumn("text", kept).drop("_key", "drop_at")
+    others = [c for c in docs.columns if c != "n_dropped"]
+    return joined.select(*[(kept if c == "text" else F.col("row")[c]).alias(c) for c in others], F.coalesce(F.size("drop_at"), F.lit(0)).alias("n_dropped"))
 
 
 def keep_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated lines taken out and n_chars, where there is one, brought up to date; documents of which no line is left go."""
-    left = dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select([c for c in docs.columns if c in left.columns])
+    """docs with repeated lines taken out and n_chars, where there is one, brought up to date; documents of which no line is left go. Nulls, ties and repeated
+    rows as in dedup_lines; all columns are returned, whatever their names."""
+    left = dedup_lines(docs.select(F.col("doc_id"), F.col("text"), whole_row(docs))).where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return left.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

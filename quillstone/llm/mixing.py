@@ -3,7 +3,7 @@
 Documents are summed by membership pattern (the set of sources that hold them). A flow routes words of
 each pattern to the sources' quotas; a second use of the same words costs more than the first, so
 repetition is the last resort. Documents of a pattern are then laid out in seeded order and those
-within the pattern's flow are taken.
+within the pattern's flow are taken; of those that come next, some fill what is left as nearly as can be.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, documents, n_words, unit
+from .common import cut, documents, n_words, unit, whole_row
 
 #: Weights of the sources in code point order, repeating; what the mix takes of all words; most uses of a word.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-#: Cells of the seeded order that each pattern is split into, so that no group is summed in one task.
-CELLS = 4096
+#: Cells of the seeded order that each pattern is split into, so that no group is summed in one task; documents that may fill the rest of a pattern's flow;
+#: words up to which that rest is filled to the word, beyond it in steps.
+CELLS, FILLERS, STEPS = 4096, 64, 1 << 16
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = REPEATS) -> dict[str | None, float]:
@@ -81,7 +82,7 @@ def _cheapest(supply: dict, members: dict, wanted: dict, repeats: int) -> dict:
 
 
 def route(supply: dict[tuple, int], wanted: dict[str | None, float], repeats: int = REPEATS) -> dict[tuple, dict[str | None, float]]:
-    """Pattern -> source -> words. Patterns that share no source are routed apart; a pattern alone with its source needs no search."""
+    """Pattern -> source -> words, by the cheapest flow. Patterns that share no source are routed apart."""
     parent: dict = {}
 
     def find(x):
@@ -98,10 +99,6 @@ def route(supply: dict[tuple, int], wanted: dict[str | None, float], repeats: in
         groups[find(("p", p))].append(p)
     out: dict = {}
     for patterns in groups.values():
-        if len(patterns) == 1 and len(patterns[0]) == 1:
-            s = patterns[0][0]
-            out[patterns[0]] = {s: min(float(repeats * supply[patterns[0]]), wanted.get(s, 0.0))}
-            continue
         sources = {s for p in patterns for s in p}
         flow = _cheapest({p: supply[p] for p in patterns}, {p: list(p) for p in patterns}, {s: wanted.get(s, 0.0) for s in sources}, repeats)
         for p in patterns:
@@ -109,11 +106,35 @@ def route(supply: dict[tuple, int], wanted: dict[str | None, float], repeats: in
     return out
 
 
+def fill(left: float, sizes: list[int]) -> list[int]:
+    """Which of the sizes (by place) add up nearest to what is left; of equals, the smaller sum, made of the earliest."""
+    step = max(1, int(left) // STEPS)
+    scaled = [round(x / step) for x in sizes]
+    sums, seen = [1], 1  # bit s of the i-th number: s is a sum of some of the first i sizes
+    for x in scaled:
+        seen |= seen << x
+        seen &= (1 << 2 * int(left / step) + 3) - 1
+        sums.append(seen)
+    goal, best = left / step, 0
+    for away in range(int(goal) + 2):
+        near = [s for s in (int(goal) - away, int(goal) + 1 + away) if s >= 0 and seen >> s & 1]
+        if near:
+            best = min(near, key=lambda s: (abs(s - goal), s))
+            break
+    chosen = []
+    for i in range(len(scaled), 0, -1):
+        if not sums[i - 1] >> best & 1:
+            chosen.append(i - 1)
+            best -= scaled[i - 1]
+    return chosen[::-1]
+
+
 def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
     """doc_id, size, pattern, text_key, taken and uses (the source of each use) for every row of docs (doc_id, text, sources array).
 
     A null text has size 0; a null or empty array means the null source; repeated rows count each and ties in
-    the seeded order fall by id, size and text hash; an empty table gives none. Other columns are not read.
+    the seeded order fall by id, size and text hash; an empty table gives none. Other columns are not read. The driver holds a row for
+    each mixture of sources that occurs, and FILLERS documents of each.
     """
     spark = docs.sparkSession
     member = F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
@@ -152,19 +173,22 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float
         table = spark.createDataFrame([(list(p), v) for p, v in values.items()], f"pattern array<string>, value {kind}")
         return cells.select("pattern", "cell").join(table, "pattern")
 
-    # in the last round of uses the documents in order are taken while they fit, then the one that comes nearest to what is left
+    # in the last round of uses the documents in order are taken while they fit, then those of the next that together come nearest to what is left
     ends = {tuple(r.pattern): r for r in placed.groupBy("pattern").agg(F.max(F.when(F.col("fits"), F.col("pos") + size)).alias("end"), F.first(total - F.col("whole") * supply).alias("goal")).collect()}
     left = {p: float(r.goal - (r.end or 0)) for p, r in ends.items()}
-    gap = F.struct(F.abs(size - F.col("value")).alias("gap"), "pos")
-    nearest = placed.where(~F.col("fits") & (size > 0)).join(by_cell(left, "double"), ["pattern", "cell"]).groupBy("pattern").agg(F.min(gap).alias("best")).collect()
-    fill = dict.fromkeys(left) | {tuple(r.pattern): r.best.pos for r in nearest if r.best.gap < left[tuple(r.pattern)]}
-    last = F.col("fits") | F.coalesce((F.col("pos") == F.col("value")) & (size > 0), F.lit(False))
+    after = placed.where(~F.col("fits") & (size > 0)).join(by_cell(left, "double"), ["pattern", "cell"]).where(size <= 2 * F.col("value"))
+    nth = F.row_number().over(W.partitionBy("pattern").orderBy("pos"))
+    coming = defaultdict(list)
+    for r in after.select("pattern", "pos", "size", nth.alias("nth")).where(F.col("nth") <= FILLERS).sort("pos").collect():  # FILLERS a pattern
+        coming[tuple(r.pattern)].append(r)
+    filled = {p: [coming[p][i].pos for i in fill(left[p], [r["size"] for r in coming[p]])] for p in left}
+    last = F.col("fits") | (F.array_contains("value", F.col("pos")) & (size > 0))
     position = lambda r: F.size(F.filter("ends", lambda e: e <= r * supply + F.col("pos") + size / 2))
     uses = F.filter(
         F.transform(F.array(*[F.lit(r) for r in range(repeats)]), lambda r: F.when((r < F.col("whole")) | ((r == F.col("whole")) & last), F.least(position(r), F.size("ends") - 1))),
         lambda i: i.isNotNull(),
     )
-    return placed.join(by_cell(fill, "long"), ["pattern", "cell"]).withColumn("use_at", uses).select(
+    return placed.join(by_cell(filled, "array<long>"), ["pattern", "cell"]).withColumn("use_at", uses).select(
         "doc_id", "size", "pattern", "text_key", "source_sizes", "targets",
         (size * F.size("use_at")).cast("long").alias("taken"),
         F.transform("use_at", lambda i: F.get("pattern", i)).alias("uses"),
@@ -172,15 +196,16 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, share: float
 
 
 def take(docs: DataFrame, source: str = "source", **how) -> DataFrame:
-    """The rows of docs as often as the mix uses them."""
-    uses = mix(docs.select("doc_id", "text", F.array(source).alias("sources")), **how).select(
-        F.xxhash64("doc_id", "text_key").alias("_key"), F.size("uses").alias("_uses")
-    )
-    number = F.row_number().over(W.partitionBy("_key").orderBy("_key"))
-    uses = uses.where("_uses > 0").withColumn("_number", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("_uses"))))
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text"))).withColumn("_number", number)
-    taken = rows.join(uses, ["_key", "_number"]).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
-    return taken.select(docs.columns)
+    """The rows of docs as often as the mix uses them, with all their columns, whatever their names.
+
+    A null text has no words and is never used; a null source is a source; of rows of equal id and text those that the mix uses
+    more come first, which cannot be told from their contents; ties in the seeded order fall by id, size and text hash; an empty table gives none.
+    """
+    uses = mix(docs.select("doc_id", "text", F.array(source).alias("sources")), **how).select(F.xxhash64("doc_id", "text_key").alias("key"), F.size("uses").alias("uses"))
+    uses = uses.where("uses > 0").withColumn("number", F.row_number().over(W.partitionBy("key").orderBy(F.desc("uses"))))
+    rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), whole_row(docs)).withColumn("number", F.row_number().over(W.partitionBy("key").orderBy("key")))
+    taken = rows.join(uses, ["key", "number"]).withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses"))))
+    return taken.select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words a worker remembers the hash of.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class WordHashes(dict):

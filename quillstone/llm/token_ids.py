@@ -21,11 +21,12 @@ from pyspark.sql import Window as W
 from . import simple8b
 from .common import documents, shared_dir
 
-#: Ids a segment holds at least, unless the partition ends; words that a worker remembers.
-SEGMENT, REMEMBERED = 1 << 20, 400_000
+#: Ids a segment holds at least, unless the partition ends; words that a worker remembers; characters whose new words are looked up at once.
+SEGMENT, REMEMBERED, AT_ONCE = 1 << 20, 400_000, 1 << 19
 SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<long>, words binary, offsets array<int>, escapes array<long>"
 
-#: ASCII signs that may be parted from a letter or digit before them: no token holds both, and none is an apostrophe.
+#: ASCII signs that may be parted from a letter or digit before them: no token holds both, and none is an apostrophe. The letter has to stay one
+#: under the tokenizer's normalizer: where that adds a combining mark, the mark goes with the sign.
 SIGNS = ".,;:!?*$%&#|<>\"()[]{}-_=+/\\@^~`"
 
 
@@ -49,20 +50,32 @@ class WordEncoder:
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.cuttable: dict[str, bool] = {}
+
+    def may_end(self, letter: str) -> bool:
+        """Whether signs may be parted from this character."""
+        ok = self.cuttable.get(letter)
+        if ok is None:
+            plan = self.tokenizer.normalizer
+            form = letter + (plan.normalize_str(letter) if plan else letter)
+            ok = self.cuttable[letter] = len(form) > 1 and all(c.isalpha() or c.isdecimal() for c in form)
+        return ok
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def text(self, text: str) -> bytes:
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What is new in all of them is learnt at once."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {"": b""}
         if len(self.parts) > 2 * REMEMBERED:
             self.parts = {"": b""}
-        words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self.known)
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
         if new:
             self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
     def learn(self, new: set[str]) -> None:
         known, parts, older, todo, wanted = self.known, self.parts, self.older, [], set()
@@ -74,7 +87,7 @@ class WordEncoder:
             part, tail = word.rstrip(SIGNS), ""
             if part == word:
                 pass
-            elif part and (part[-1].isalpha() or part[-1].isdecimal()) and "<|" not in word:
+            elif part and self.may_end(part[-1]) and "<|" not in word:
                 tail = word[len(part) :]
             else:
                 part = word
@@ -103,11 +116,25 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encode_words(text: str, path: str, by_word: bool = True) -> bytes:
-    """Ids of a text; by_word: through the words that the worker remembers, which must suit the tokenizer."""
+def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[bytes]:
+    """Ids of texts; by_word: through the words that the worker remembers, which must suit the tokenizer."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
-    return _encoders[path].text(text) if by_word else _encoders[path].ids(text)
+    return _encoders[path].texts(texts) if by_word else list(map(_encoders[path].ids, texts))
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
+    """Rows (doc_id, text) in runs of about AT_ONCE characters."""
+    run, chars = [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            run.append((doc_id, text or ""))
+            chars += len(run[-1][1])
+            if chars > AT_ONCE:
+                yield run
+                run, chars = [], 0
+    if run:
+        yield run
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, by_word: bool = True) -> None:
@@ -136,9 +163,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, by_wo
                 }
             )
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                coded = encode_words(text or "", tokenizer, by_word) + end
+        for run in _together(batches):
+            for (doc_id, _), coded in zip(run, encode_texts([t for _, t in run], tokenizer, by_word), strict=True):
+                coded += end
                 ids.append(doc_id)
                 lengths.append(len(coded) // 4)
                 pieces.append(coded)
