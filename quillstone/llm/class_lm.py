@@ -1,9 +1,9 @@
 """Language model scores from Brown class-based n-grams.
 
 Counts of all words are gathered from all training documents. The most frequent words (the lexicon, of bounded size)
-have ids. Exchange clustering assigns the core of the lexicon to classes that make the class bigrams most
-likely; the same exchange joins the classes into groups, and every further word of the lexicon goes to the
-group it stands beside most often. All other words form one open class. A text's probability is the
+have ids. Exchange clustering assigns all of them to classes that make the class bigrams most likely: the most
+frequent words one by one on the driver, then all words in rounds, each word judged where its neighbours' counts lie, against the
+class bigrams as they were before the round. Words met once and those outside the lexicon form one open class. A text's probability is the
 product of class transitions, from the last word of the lexicon, and of word emissions from classes, both smoothed.
 """
 
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, shuffle_width
 
-#: Size of the lexicon and longest word in it (its broadcast is below LEXICON * (LONGEST + 16) bytes), words clustered pair by pair, classes, groups of the other words.
-LEXICON, LONGEST, CORE, CLASSES, GROUPS, SWEEPS = 262_144, 64, 512, 40, 8, 10
+#: Size of the lexicon and longest word in it (its broadcast is below LEXICON * (LONGEST + 16) bytes), words clustered first, classes, sweeps over those, rounds over all.
+LEXICON, LONGEST, CORE, CLASSES, SWEEPS, ROUNDS = 262_144, 64, 512, 40, 10, 4
+#: Pairs of neighbours that are summed at once, words judged at once.
+PAIRS, JUDGED = 1 << 22, 128
 #: Weight of the class frequencies behind the transitions; words after which a task hands on its counts.
 PRIOR, HELD = 20.0, 400_000
 
@@ -159,7 +161,194 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
     return of
 
 
-def fit(train: DataFrame, lexicon: int = LEXICON, core: int = CORE, classes: int = CLASSES, groups: int = GROUPS) -> tuple[Model, DataFrame, dict]:
+def _pressed(numbers: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<i4").tobytes())
+
+
+def _loosened(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype="<i4").astype(np.int64)
+
+
+def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sums of their times."""
+    order = np.argsort(codes, kind="stable")
+    codes, times = codes[order], times[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def neighbours(texts: DataFrame, model, buckets: int) -> DataFrame:
+    """bucket, side, w, o, n: how often each word w of the lexicon stands before (side 0) or after (side 1) each other one, o, as packed numbers, all
+    of a word in one bucket. Words outside the lexicon are passed over. The words' ids are steps from one row to the next."""
+    schema = "bucket int, side int, w binary, o binary, n binary"
+
+    def packed(bucket: list[int], side: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        columns = [[_pressed(x) for x in (np.diff(code >> 32, prepend=0), code & 0xFFFFFFFF, times)] for code, times in parts]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "side": pa.array(side, pa.int32())} | {c: pa.array([x[i] for x in columns], pa.binary()) for i, c in enumerate("won")})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, held, n = model.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            codes, times = _summed(np.concatenate(held), np.ones(n, dtype=np.int64))
+            bucket, side, parts = [], [], []
+            for which in (0, 1):
+                if which:
+                    turned = (codes & 0xFFFFFFFF) << 32 | codes >> 32
+                    order = np.argsort(turned, kind="stable")
+                    codes, times = turned[order], times[order]
+                of = (codes >> 32) % buckets
+                order = np.argsort(of, kind="stable")
+                of = of[order]
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=True):
+                    bucket.append(int(of[i]))
+                    side.append(which)
+                    parts.append((codes[order[i:j]], times[order[i:j]]))
+            return packed(bucket, side, parts)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ids = m.encode(words_of(text))
+                ids = ids[ids >= 0]
+                if len(ids) > 1:
+                    held.append(ids[:-1] << 32 | ids[1:])
+                    n += len(ids) - 1
+                if n > PAIRS:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, codes, times, held = None, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = (row["bucket"], row["side"])
+                if now is not None and at != now:
+                    yield packed([now[0]], [now[1]], [_summed(codes, times)])
+                    codes, times, held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+                now = at
+                codes = np.concatenate([codes, np.cumsum(_loosened(row["w"])) << 32 | _loosened(row["o"])])
+                times = np.concatenate([times, _loosened(row["n"])])
+                if len(codes) > held + PAIRS:
+                    codes, times = _summed(codes, times)
+                    held = len(codes)
+        if now is not None:
+            yield packed([now[0]], [now[1]], [_summed(codes, times)])
+
+    dealt = texts.select("text").mapInArrow(gather, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "side")
+    return cut(dealt.mapInArrow(merge, schema))
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(_loosened(row["w"])), _loosened(row["o"]), _loosened(row["n"])
+
+
+def _pair_sums(beside: DataFrame, cells: int, codes) -> DataFrame:
+    """code, n: sums over pairs; codes(w, o) gives the code below `cells` of each pair, -1 for none."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                w, o, n = _unpacked(row)
+                at = codes(w, o)
+                total += np.bincount(at[at >= 0], weights=n[at >= 0], minlength=cells).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"code": at, "n": total[at]})
+
+    return beside.where("side = 0").mapInArrow(add, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def gains(m: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """(words, classes): what the likelihood gains from each word, taken out of its own class (-1: of none), in each class. m: bigrams of classes; after, before:
+    how often each class follows and precedes the word, without itself; twice: how often the word follows itself."""
+    each, k = np.arange(len(own)), len(m)
+    rest = np.repeat(m[None].astype(np.float64), len(own), axis=0)
+    has = np.flatnonzero(own >= 0)
+    at = own[has]
+    rest[has, at, :] -= after[has]
+    rest[has, :, at] -= before[has]
+    rest[has, at, at] -= twice[has]
+    known = _g(rest)
+    out = (_g(rest + after[:, None, :]) - known).sum(axis=2) + (_g(rest + before[:, :, None]) - known).sum(axis=1)
+    d = rest[each[:, None], np.arange(k), np.arange(k)]
+    both = twice[:, None]
+    out += _g(d + after + before + both) + _g(d) - _g(d + after) - _g(d + before)
+    left, right = rest.sum(axis=2) + before, rest.sum(axis=1) + after
+    out -= _g(left + after.sum(axis=1, keepdims=True) + both) - _g(left)
+    return out - (_g(right + before.sum(axis=1, keepdims=True) + both) - _g(right))
+
+
+def _moved(beside: DataFrame, classes: np.ndarray, m: np.ndarray, turn: int) -> DataFrame:
+    """w, class of the words that move: those without a class, and in each turn every other one of the rest, if that makes the bigrams likelier."""
+    sent, k = beside.sparkSession.sparkContext.broadcast((classes, m)), len(m)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = sent.value
+        sides: dict[int, dict[int, tuple]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides.setdefault(row["bucket"], {})[row["side"]] = _unpacked(row)
+        for parts in sides.values():
+            words = np.unique(np.concatenate([p[0] for p in parts.values()]))
+            words = words[(of[words] < 0) | (words % 2 == turn % 2)]
+            sums, twice = {}, np.zeros(len(words))
+            for side in (0, 1):
+                w, o, n = parts.get(side, (np.zeros(0, np.int64),) * 3)
+                at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
+                ok = (words[at] == w) if len(words) else np.zeros(len(w), bool)
+                if side == 0:
+                    twice += np.bincount(at[ok & (w == o)], weights=n[ok & (w == o)], minlength=len(words))[: len(words)]
+                ok &= (w != o) & (of[o] >= 0)
+                sums[side] = np.bincount(at[ok] * k + of[o[ok]], weights=n[ok], minlength=len(words) * k).reshape(-1, k)
+            for i in range(0, len(words), JUDGED):
+                some = slice(i, i + JUDGED)
+                own = of[words[some]]
+                gain = gains(table, own, sums[0][some], sums[1][some], twice[some])
+                best, each = gain.argmax(axis=1), np.arange(len(own))
+                go = (own < 0) | (gain[each, best] > gain[each, np.maximum(own, 0)] + 1e-6)
+                yield pa.RecordBatch.from_pydict({"w": words[some][go], "class": best[go]})
+
+    return beside.mapInArrow(judge, "w long, class long")
+
+
+def cluster(beside: DataFrame, words: int, core: int = CORE, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    """Class of each of `words` words, from their neighbours. Words that have none are dealt out."""
+    core = min(core, words)
+    if not core:
+        return np.zeros(0, np.int64)
+    inside = lambda w, o: np.where((w < core) & (o < core), w * core + o, -1)
+    of_core = exchange(_table(_pair_sums(beside, core * core, inside), (core, core)), classes)
+    k = int(of_core.max()) + 1
+    now = np.concatenate([of_core, np.full(words - core, -1, dtype=np.int64)])
+    best, most = now, -np.inf
+    for turn in range(rounds + 1):
+        placed = now
+        pairs = lambda w, o, of=placed: np.where((of[w] >= 0) & (of[o] >= 0), of[w] * k + of[o], -1)
+        m = _table(_pair_sums(beside, k * k, pairs), (k, k)).astype(float)
+        likely = (_g(m).sum() - _g(m.sum(axis=0)).sum() - _g(m.sum(axis=1)).sum()) if turn else -np.inf
+        if likely > most:
+            best, most = now, likely
+        elif turn:
+            break
+        if turn < rounds:
+            got = _moved(beside, placed, m, turn).toArrow()  # at most as many rows as the lexicon has words
+            now = placed.copy()
+            now[got["w"].to_numpy()] = got["class"].to_numpy()
+            if not turn:
+                best = now
+            if not got.num_rows:
+                break
+    return np.where(best >= 0, best, np.arange(words) % k)
+
+
+def fit(train: DataFrame, lexicon: int = LEXICON, core: int = CORE, classes: int = CLASSES) -> tuple[Model, DataFrame, dict]:
     """(model, counts of all words, totals) from the texts of train."""
     spark = train.sparkSession
     counts = cut(word_counts(train))
@@ -175,33 +364,10 @@ def fit(train: DataFrame, lexicon: int = LEXICON, core: int = CORE, classes: int
         top = top.sort_values(["c", "word"], ascending=[False, True], kind="stable")
     ids = {bytes(w): i for i, w in enumerate(top["word"])} if top is not None else {}
     c = top["c"].to_numpy(dtype=np.int64) if top is not None else np.zeros(0, np.int64)
-    core = min(core, len(ids))
-
-    plain = Model(ids, c, np.zeros(len(c), np.int64), 1)
-    sent = spark.sparkContext.broadcast(plain)
-    wide = core + 2  # the core, all other words, the end
-
-    def pair_codes(m: Model, x: np.ndarray) -> np.ndarray:
-        x = np.concatenate([[core + 1], np.where((x >= 0) & (x < core), x, core), [core + 1]])
-        return x[:-1] * wide + x[1:]
-
-    pairs = _table(_sums(train, sent, wide * wide, pair_codes), (wide, wide))
-    of_core = exchange(pairs[:core, :core], classes) if core else np.zeros(0, np.int64)
-    n_core = int(of_core.max(initial=-1)) + 1
-    one = np.zeros((core, max(n_core, 1)))
-    one[np.arange(core), of_core] = 1
-    group_of = exchange(one.T @ pairs[:core, :core] @ one, groups) if core else np.zeros(1, np.int64)
-    n_groups = int(group_of.max(initial=0)) + 1
-    of_word = np.append(group_of[of_core], -1) if core else np.array([-1])
-
-    def beside_codes(m: Model, x: np.ndarray) -> np.ndarray:
-        group = of_word[np.where((x >= 0) & (x < core), x, core)]
-        after, before = (x[1:] >= core) & (group[:-1] >= 0), (x[:-1] >= core) & (group[1:] >= 0)
-        return np.concatenate([x[1:][after] * n_groups + group[:-1][after], x[:-1][before] * n_groups + group[1:][before]])
-
-    beside = _table(_sums(train, sent, len(ids) * n_groups, beside_codes), (len(ids), n_groups)) if len(ids) > core else np.zeros((len(ids), n_groups))
-    of_all = np.concatenate([of_core, n_core + beside[core:].argmax(axis=1)]).astype(np.int64)
-    model = Model(ids, c, of_all, n_core + n_groups)
+
+    sent = spark.sparkContext.broadcast(Model(ids, c, np.zeros(len(c), np.int64), 1))
+    of_all = cluster(neighbours(train, sent, 4 * shuffle_width(spark)), len(ids), core, classes)
+    model = Model(ids, c, of_all, int(of_all.max(initial=0)) + 1)
     sent_classes = spark.sparkContext.broadcast(model)
     k = model.n_classes + 2
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import class_lm, mixing, pieces, quality, rules, sharding, simple8b, token_ids
+from quillstone.llm import class_lm, jaccard_join, line_dedup, mixing, pieces, quality, rules, sharding, simple8b, token_ids
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -101,6 +101,22 @@ def test_token_ids(spark, odd, none, docs, tmp_path):
             at += r.n_tokens
 
 
+def test_token_ids_of_every_letter_before_a_sign():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [f"a{chr(c)}. {chr(c)}a!{chr(c)}" for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    got = token_ids.encode_texts(texts, path)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+    rng = np.random.default_rng(3)
+    signs = [*"abcXYZ.,;:!?'\"()<|>-_ \n\t09", "\u0130", "\u0915\u093c", "\u0958", "\u0301", "\u00e9", "\u65e5", "\u00b2", "\u1100", "\u1161"]
+    mixed = ["".join(rng.choice(signs, rng.integers(1, 30))) for _ in range(4000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(mixed, add_special_tokens=False)]
+    assert token_ids.encode_texts(mixed, path) == want
+
+
 def test_pieces(spark, odd, none, docs):
     import sentencepiece
 
@@ -166,6 +182,8 @@ def test_mixing(spark, odd, none, docs):
             own = [r for r in got if r.pattern == [s]]
             assert own[0].source_sizes == [sizes[s]] and abs(own[0].targets[0] - want[s]) < 1e-3
             assert abs(sum(r.taken for r in own) - want[s]) <= max(r["size"] for r in own) / 2 + 1
+            if len(own) > 30:
+                assert abs(sum(r.taken for r in own) - want[s]) <= 0.01 * want[s] + 2
             assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in own)
     again = mixing.mix(docs.repartition(5).withColumn("sources", F.array("source"))).collect()
     first = mixing.mix(docs.withColumn("sources", F.array("source"))).collect()
@@ -175,6 +193,34 @@ def test_mixing(spark, odd, none, docs):
     assert rows.columns == docs.columns and Counter(r.doc_id for r in rows.select("doc_id").collect()) == Counter({r.doc_id: r.taken // r["size"] for r in first if r.taken})
 
 
+def test_flow_decides_every_quota(spark, docs, monkeypatch):
+    asked = []
+    cheapest = mixing._cheapest
+    monkeypatch.setattr(mixing, "_cheapest", lambda supply, *a: asked.extend(supply) or cheapest(supply, *a))
+    got = mixing.mix(docs.withColumn("sources", F.array("source"))).collect()
+    assert set(asked) == {tuple(r.pattern) for r in got}
+
+
+def test_filling_comes_as_near_as_can_be():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes, left = rng.integers(1, 40, rng.integers(0, 8)).tolist(), float(rng.integers(0, 90)) / 2
+        sums = {sum(x for i, x in enumerate(sizes) if m >> i & 1) for m in range(1 << len(sizes))}
+        assert abs(sum(sizes[i] for i in mixing.fill(left, sizes)) - left) == min(abs(s - left) for s in sums)
+    assert mixing.fill(1e9, [10**9 // 2, 10**9 // 2 + 7]) == [0, 1]
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["key", "row", "number", "uses", "use", "_key", "_number", "_uses", "doc_key", "drop_at", "_text", "text_key", "a.b", "n_chars"]
+    table = spark.createDataFrame([(i, f"some words of text {i}\nand one line for all", "s", *range(len(names))) for i in (1, 2, 2)], ["doc_id", "text", "source", *names])
+    taken = mixing.take(table)
+    assert taken.columns == table.columns and all(tuple(r)[3:] == tuple(range(len(names))) for r in taken.collect())
+    kept = line_dedup.keep_lines(table)
+    assert kept.columns == table.columns and all(tuple(r)[3:-1] == tuple(range(len(names) - 1)) and r.n_chars == len(r.text) for r in kept.collect())
+    alone = jaccard_join.keep_one(table)
+    assert alone.columns == table.columns and sorted(r.doc_id for r in alone.collect()) == [1, 2] and all(tuple(r)[3:] == tuple(range(len(names))) for r in alone.collect())
+
+
 def test_flow_uses_fresh_words_first():
     flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 18.0, "b": 10.0}, 2)
     used = {p: sum(f.values()) for p, f in flow.items()}
@@ -243,6 +289,80 @@ def test_class_model_is_a_distribution(spark, docs):
     assert np.allclose(in_class[np.bincount(model.classes, minlength=model.n_classes) > 0], 1)
 
 
+def test_class_scores_by_brute_force(spark, docs):
+    held, sizes = class_lm.held_out(7, 2), {"lexicon": 500, "core": 50, "classes": 8}
+    some = docs.limit(60).cache()
+    train = some.where(~held)
+    model, _, _ = class_lm.fit(train, **sizes)
+    klass = {w: int(model.classes[i]) for w, i in model.ids.items()}
+    texts = [class_lm.words_of(r.text) for r in train.collect()]
+    counts = Counter(w for t in texts for w in t)
+    end, other = model.n_classes, model.n_classes + 1
+
+    def path(words):
+        state, out = end, []
+        for w in [*words, None]:
+            now = end if w is None else klass.get(w, other)
+            out.append((state, now, w))
+            if now != other:
+                state = now
+        return out
+
+    moves = Counter((s, c) for t in texts for s, c, _ in path(t))
+    total, k = sum(moves.values()), model.n_classes + 2
+    arrived, left, in_class = Counter(), Counter(), Counter()
+    for (s, c), n in moves.items():
+        arrived[c] += n
+        left[s] += n
+    for w, c in klass.items():
+        in_class[c] += counts[w]
+    opened = {w: n for w, n in counts.items() if w not in klass}
+    spread = sum(opened.values()) + len(opened) + 1
+
+    def brute(words):
+        out = 0.0
+        for s, c, w in path(words):
+            out += math.log10((moves[s, c] + class_lm.PRIOR * (arrived[c] + 1) / (total + k)) / (left[s] + class_lm.PRIOR))
+            if c == other:
+                out += math.log10((opened.get(w, 0) + 1) / spread)
+            elif w is not None:
+                out += math.log10(counts[w] / in_class[c])
+        return out
+
+    got = {r.doc_id: r.score for r in class_lm.score(some, train, held, **sizes).collect()}
+    for r in some.collect():
+        assert abs(got[r.doc_id] - brute(class_lm.words_of(r.text))) < 1e-6 * max(1, abs(got[r.doc_id]))
+
+
+def test_words_outside_the_core_are_exchanged_too(spark):
+    rng = np.random.default_rng(8)
+    sides = [[f"{s}{i}" for i in range(60)] for s in "ab"]
+    texts = [" ".join(str(sides[j % 2][min(59, rng.geometric(0.05) - 1)]) for j in range(40)) for _ in range(400)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model, _, _ = class_lm.fit(train, core=12, classes=2)
+    assert len(model.ids) > 100 and len({(w[:1], int(model.classes[i])) for w, i in model.ids.items()}) == 2
+
+
+def test_gains_agree_with_the_likelihood():
+    rng = np.random.default_rng(9)
+    pairs, of = rng.integers(0, 6, (12, 12)), rng.integers(0, 3, 12)
+
+    def bigrams(of):
+        one = np.eye(3)[of]
+        return one.T @ pairs @ one
+
+    def likely(m):
+        g = lambda x: sum(v * math.log(v) for v in np.ravel(x) if v > 0)
+        return g(m) - g(m.sum(axis=0)) - g(m.sum(axis=1))
+
+    one = np.eye(3)[of]
+    alone = pairs - np.diag(np.diag(pairs))
+    got = class_lm.gains(bigrams(of), of, alone @ one, alone.T @ one, np.diag(pairs).astype(float))
+    for w in range(12):
+        want = [likely(bigrams(np.where(np.arange(12) == w, c, of))) for c in range(3)]
+        assert np.allclose(got[w] - got[w][0], np.array(want) - want[0])
+
+
 def test_exchange_finds_the_planted_classes():
     rng = np.random.default_rng(3)
     truth = np.arange(40) % 2
@@ -260,6 +380,19 @@ def test_quality(spark, odd, none, data, docs):
     out = [r for r in got if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in out) >= 0.85 * len(out)
     space = quality.learn(docs, spark.createDataFrame(list(labels.items()), "doc_id long, label int"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rated = {r.doc_id: r.score for r in quality.rate(docs, space).collect()}
+    for i, text in list(texts.items())[:80]:  # votes one by one
+        row, key = quality.features(text), quality.text_keys([text])[0]
+        v = row * space.idf
+        v = (v / np.linalg.norm(v) if v.any() else v) @ space.basis
+        near = sorted(((float(b @ v) / max(np.linalg.norm(v), 1e-9), g, w) for b, k, g, w in zip(space.bank, space.keys, space.good, space.weight, strict=True) if k != key), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(s, 1e-3) ** quality.POWER * w, g) for s, g, w in near]
+        assert abs(rated[i] - sum(v for v, g in votes if g) / sum(v for v, _ in votes)) < 1e-3
+    turned = quality.learn(docs, spark.createDataFrame([(i, q if i != 7 else 1 - q) for i, q in labels.items()] + [(7, 0)] * (7 not in labels), "doc_id long, label int"))
+    one = docs.where("doc_id = 7")
+    if len(turned.bank) == len(space.bank) and (turned.keys == space.keys).all() and np.isclose(turned.weight, space.weight).all():
+        assert quality.rate(one, turned).first().score == quality.rate(one, space).first().score
     assert quality.rate(odd, space).count() == len(ODD) and quality.rate(none, space).count() == 0
     empty = quality.learn(none, spark.createDataFrame([], "doc_id long, label int"))
     assert {r.score for r in quality.rate(odd, empty).collect()} == {0.5}
