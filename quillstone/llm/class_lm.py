@@ -24,7 +24,7 @@ from .common import cut, documents, shuffle_width
 #: Size of the lexicon and longest word in it (its broadcast is below LEXICON * (LONGEST + 16) bytes), words clustered first, classes, sweeps over those, rounds over all.
 LEXICON, LONGEST, CORE, CLASSES, SWEEPS, ROUNDS = 262_144, 64, 512, 40, 10, 4
 #: Pairs of neighbours that are summed at once, words judged at once.
-PAIRS, JUDGED = 1 << 22, 128
+PAIRS, JUDGED = 1 << 22, 1024
 #: Weight of the class frequencies behind the transitions; words after which a task hands on its counts.
 PRIOR, HELD = 20.0, 400_000
 
@@ -268,21 +268,28 @@ def _pair_sums(beside: DataFrame, cells: int, codes) -> DataFrame:
 def gains(m: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """(words, classes): what the likelihood gains from each word, taken out of its own class (-1: of none), in each class. m: bigrams of classes; after, before:
     how often each class follows and precedes the word, without itself; twice: how often the word follows itself."""
-    each, k = np.arange(len(own)), len(m)
-    rest = np.repeat(m[None].astype(np.float64), len(own), axis=0)
+    m, each = m.astype(np.float64), np.arange(len(own))
     has = np.flatnonzero(own >= 0)
-    at = own[has]
-    rest[has, at, :] -= after[has]
-    rest[has, :, at] -= before[has]
-    rest[has, at, at] -= twice[has]
-    known = _g(rest)
-    out = (_g(rest + after[:, None, :]) - known).sum(axis=2) + (_g(rest + before[:, :, None]) - known).sum(axis=1)
-    d = rest[each[:, None], np.arange(k), np.arange(k)]
-    both = twice[:, None]
-    out += _g(d + after + before + both) + _g(d) - _g(d + after) - _g(d + before)
-    left, right = rest.sum(axis=2) + before, rest.sum(axis=1) + after
-    out -= _g(left + after.sum(axis=1, keepdims=True) + both) - _g(left)
-    return out - (_g(right + before.sum(axis=1, keepdims=True) + both) - _g(right))
+    at, both = own[has], twice[:, None]
+    d = np.repeat(np.diagonal(m)[None], len(own), axis=0)
+    d[has, at] -= after[has, at] + before[has, at] + twice[has]
+    out = _g(d + after + before + both) + _g(d) - _g(d + after) - _g(d + before)
+    for table, here, there in ((m, after, before), (m.T, before, after)):  # rows of classes and what follows them, then columns and what precedes them
+        i, j = np.nonzero(here)  # nothing changes elsewhere
+        rest, n, mine = table.T[j], here[i, j], own[i]
+        in_class, same = np.flatnonzero(mine >= 0), np.flatnonzero(mine == j)
+        rest[in_class, mine[in_class]] -= n[in_class]
+        rest[same] -= there[i[same]]
+        rest[same, j[same]] -= twice[i[same]]
+        change = _g(rest + n[:, None]) - _g(rest)
+        some = np.flatnonzero(np.bincount(i, minlength=len(own)))
+        if len(some):
+            out[some] += np.add.reduceat(change, np.searchsorted(i, some), axis=0)
+        total = np.repeat(table.sum(axis=1)[None], len(own), axis=0) - np.where(own >= 0, 1.0, 0.0)[:, None] * there
+        total[has, at] -= here[has].sum(axis=1) + twice[has]
+        total += there
+        out -= _g(total + here.sum(axis=1, keepdims=True) + both) - _g(total)
+    return out
 
 
 def _moved(beside: DataFrame, classes: np.ndarray, m: np.ndarray, turn: int) -> DataFrame:

@@ -169,27 +169,48 @@ def _table(spark: SparkSession, model: PieceModel) -> DataFrame:
 
 
 def _edges(words: DataFrame, model: PieceModel, keys: list[str], carried: list[Column]) -> DataFrame:
-    """keys (word among them), carried, and edges, best first, then leftmost: at (order, start and end), and the bits of both
-    ends and of what lies between; for unigrams start, end and score too. Rows of equal keys have to lie in one partition already."""
+    """keys (word among them), carried, and edges, best first, then leftmost: numbers made of order, start, end and the bit of a late piece; for unigrams
+    structs of start, end and score. Rows of equal keys have to lie in one partition already."""
     size, s, e = F.length("word"), F.col("s"), F.col("e")
     starts = words.select(*words.columns, F.explode(F.sequence(F.lit(0), size - 2)).alias("s"))
     spans = starts.select("*", F.explode(F.sequence(s + 2, F.least(size, s + model.longest))).alias("e"))
     pieces = spans.withColumn("piece", F.substring("word", s + 1, e - s))
     found = pieces.join(F.broadcast(_table(words.sparkSession, model)), "piece")  # as many rows as the model has pieces
-    at = F.shiftleft(F.shiftright("order", 1), 13) + F.shiftleft(s, 7) + F.shiftleft(e, 1) + F.col("order").bitwiseAND(F.lit(1))
-    inner = (_bit(e) - F.lit(1)).bitwiseAND(F.bitwise_not(_bit(s + 1) - F.lit(1)))
-    more = [] if model.kind == BPE else ["s", "e", "score"]
-    return found.groupBy(*keys).agg(*carried, F.sort_array(F.collect_list(F.struct(at.alias("at"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), inner.alias("inner"), *more))).alias("edges"))
+    number = F.shiftleft(F.shiftright("order", 1), 13) + F.shiftleft(s, 7) + F.shiftleft(e, 1) + F.col("order").bitwiseAND(F.lit(1))
+    edge = number if model.kind == BPE else F.struct("s", "e", "score")
+    return found.groupBy(*keys).agg(*carried, F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def _start(edge: Column) -> Column:
+    """An edge's start, with higher bits that shifts of a long do not look at."""
+    return F.shiftright(edge, 7).cast("int")
+
+
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, 1).cast("int")
+
+
+def _inner(edge: Column) -> Column:
+    """The bits between an edge's ends."""
+    one = F.lit(1).cast("long")
+    return F.call_function("shiftleft", one, _end(edge)) - F.call_function("shiftleft", F.lit(2).cast("long"), _start(edge))
 
 
 def _fits(bounds: Column, edge: Column) -> Column:
     """Whether an edge joins two neighbours: its ends are boundaries, and one boundary lies between them."""
-    return (bounds.bitwiseAND(edge["ends"]) == edge["ends"]) & (F.bit_count(bounds.bitwiseAND(edge["inner"])) == 1)
+    ends = F.call_function("shiftright", bounds, _start(edge)).bitwiseAND(F.call_function("shiftright", bounds, _end(edge)))
+    return (ends.bitwiseAND(F.lit(1)) != 0) & (F.bit_count(bounds.bitwiseAND(_inner(edge))) == 1)
 
 
 def _one_pass(size: Column) -> Column:
-    """Boundaries (bits) after each edge, best first, has been merged where it fits; with the bit AGAIN if a late piece was merged."""
-    return F.aggregate("edges", _bit(size + 1) - F.lit(1), lambda bounds, e: F.when(_fits(bounds, e), bounds.bitwiseAND(F.bitwise_not(e["inner"])).bitwiseOR(F.shiftleft(e["at"].bitwiseAND(F.lit(1)), AGAIN))).otherwise(bounds))
+    """Boundaries (bits) after each edge, best first, has been merged where it fits; with the bit AGAIN if a late piece made an edge possible that had been passed over."""
+
+    def step(bounds: Column, edge: Column) -> Column:
+        merged = bounds.bitwiseAND(F.bitwise_not(_inner(edge)))
+        missed = (edge.bitwiseAND(F.lit(1)) != 0) & F.exists("edges", lambda other: (other < edge) & _fits(merged, other))
+        return F.when(_fits(bounds, edge), F.when(missed, merged.bitwiseOR(F.lit(1 << AGAIN))).otherwise(merged)).otherwise(bounds)
+
+    return F.aggregate("edges", _bit(size + 1) - F.lit(1), step)
 
 
 def _merge_fold(size: Column) -> Column:
@@ -197,7 +218,7 @@ def _merge_fold(size: Column) -> Column:
 
     def step(bounds: Column, _: Column) -> Column:
         best = F.get(F.filter("edges", lambda e: _fits(bounds, e)), F.lit(0))
-        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
+        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(_inner(best))), bounds)
 
     return F.aggregate(F.sequence(F.lit(1), size - 1), _bit(size + 1) - F.lit(1), step)
 
