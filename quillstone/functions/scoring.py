@@ -31,8 +31,3 @@ def normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
-
-
-def default_ef_search(n: int) -> int:
-    """Breadth of an approximate search by store size; exact search does not use it."""
-    return 64 if n < 25_000 else 96 if n < 50_000 else 160 if n < 100_000 else 256

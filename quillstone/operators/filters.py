@@ -95,8 +95,8 @@ def keep(project: str | None = None, agent: str | None = None, filters: dict[str
 
 
 def parse_scalar(text: str) -> Any:
-    """Integer, float, boolean or string, whichever reads first."""
-    for kind in (int, float):
+    """Integer, float, boolean or string, whichever reads first. Digits with underscores are a string."""
+    for kind in (int, float) if "_" not in text else ():
         try:
             return kind(text)
         except ValueError:
@@ -106,20 +106,21 @@ def parse_scalar(text: str) -> Any:
 
 def _number(text: str) -> float:
     try:
-        return float(text)
+        return float("" if "_" in text else text)
     except ValueError:
         raise ValueError(f"not a number: {text!r}") from None
 
 
 def parse_filters(specs: list[str]) -> dict[str, Filter]:
-    """k=v, k=low..high, k>=n, k<=n. Ranges of one key are merged, the first bound of a side wins; anything else twice is an error."""
+    """k=v, k=low..high (one side may be open), k>=n, k<=n; spaces around a key do not count. Ranges of one key are merged, the first bound of a side wins; anything else twice is an error."""
     out: dict[str, Filter] = {}
     for spec in specs:
         for sign in (">=", "<=", "="):
             key, found, value = spec.partition(sign)
             if found:
                 break
-        if not found or not key:
+        key = key.strip()
+        if not found or not key or sign == "=" and value.strip() == "..":
             raise ValueError(f"not a filter: {spec!r}")
         if sign == ">=":
             new: Filter = Range(low=_number(value))

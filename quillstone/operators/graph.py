@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Fixed limits of names in bytes, and the kind of edge that superseding draws.
 ENTITY_BYTES, KIND_BYTES, SUPERSEDES = 128, 64, "supersedes"
 
@@ -63,20 +65,20 @@ def supersede(memories: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def newest_versions(relations: DataFrame) -> DataFrame:
-    """id, newest, steps: where each superseded memory's chain of versions ends."""
-    spark = relations.sparkSession
-    edges = relations.where(F.col("kind") == SUPERSEDES).select(F.col("dst").alias("id"), F.col("src").alias("newer"))
-    edges.createOrReplaceTempView("_version_edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE chain(id, newest, steps) MAX RECURSION LEVEL 1000 AS (
-          SELECT id, newer, 1 FROM _version_edges
-          UNION ALL
-          SELECT c.id, e.newer, c.steps + 1 FROM chain c JOIN _version_edges e ON e.id = c.newest
-        )
-        SELECT c.id, c.newest, c.steps FROM chain c LEFT ANTI JOIN _version_edges e ON e.id = c.newest
-        """
-    )
+    """id, newest, steps: where each superseded memory's chain of versions ends, by pointer jumping: the rounds are the logarithm of the longest chain. A circle is an error."""
+    edges = cut(relations.where(F.col("kind") == SUPERSEDES).select(F.col("dst").alias("id"), F.col("src").alias("newest"), F.lit(1).cast("long").alias("steps")).distinct())
+    ends = edges.select(F.col("newest").alias("id")).distinct().join(edges.select("id"), "id", "left_anti").select(F.col("id").alias("newest"))
+    most, now, done = edges.count(), edges, None
+    while True:
+        over = now.join(ends, "newest", "left_semi").select("id", "newest", "steps")
+        done = over if done is None else cut(done.unionByName(over))
+        open_ = now.join(ends, "newest", "left_anti")
+        if not open_.limit(1).count():
+            return done.withColumn("steps", F.col("steps").cast("int"))
+        if now.agg(F.max("steps")).first()[0] > most:
+            raise ValueError("versions run in a circle")
+        up = done.unionByName(open_.select("id", "newest", "steps")).select(F.col("id").alias("newest"), F.col("newest").alias("above"), F.col("steps").alias("more"))
+        now = cut(open_.join(up, "newest").select("id", F.col("above").alias("newest"), (F.col("steps") + F.col("more")).alias("steps")))
 
 
 def vacuum(memories: DataFrame, relations: DataFrame, entity_tags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -12,14 +12,24 @@ from pyspark.sql import Window as W
 
 from ..functions import scoring
 from ..functions.text import clip_term, doc_len, raw_tokens, tokens
+from .lineage import cut
 
-#: Digits that scores are rounded to before they are ranked; query vectors sent to the executors at once.
-DIGITS, QUERIES_AT_ONCE = 6, 4096
+#: Digits that scores are rounded to before they are ranked; query vectors sent to the executors at once; chunk rows they are multiplied with at once;
+#: bytes up to which a table in few pieces is dealt out to all cores before its texts are read.
+DIGITS, QUERIES_AT_ONCE, ROWS_AT_ONCE, SMALL = 6, 4096, 1024, 1 << 28
+#: Distinct terms of a batch of queries that are sent to all executors; a batch of more is joined by a shuffle.
+TERMS_SENT = 1 << 19
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """A small table over all cores, as its files may hold a single row group; a larger one as it is, without a shuffle."""
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism) if size < SMALL else texts
 
 
 def term_rows(memories: DataFrame) -> DataFrame:
     """id, term, tf, doc_len of every document, dead ones included."""
-    toks = memories.select("id", raw_tokens(F.col("content")).alias("toks"))
+    toks = spread(memories.select("id", "content")).select("id", raw_tokens(F.col("content")).alias("toks"))
     rows = toks.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
     return rows.groupBy("id", "doc_len", clip_term(F.lower("term")).alias("term")).agg(F.count("*").alias("tf"))
 
@@ -27,7 +37,7 @@ def term_rows(memories: DataFrame) -> DataFrame:
 def corpus_stats(memories: DataFrame) -> DataFrame:
     """One row: documents and tokens, dead documents included until they are vacuumed."""
     size = doc_len(F.col("content"))
-    return memories.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(size), F.lit(0)).alias("total_tokens"))
+    return spread(memories.select("content")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(size), F.lit(0)).alias("total_tokens"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -38,9 +48,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_scores(memories: DataFrame, queries: DataFrame, keep: Column) -> DataFrame:
     """query_id, id, score > 0 of kept documents. Statistics cover all documents; only rows of asked terms are shuffled."""
     asked = query_terms(queries)
-    toks = memories.select("id", keep.alias("kept"), raw_tokens(F.col("content")).alias("toks"))
+    terms = asked.select("term").distinct()
+    few = terms.limit(TERMS_SENT + 1).count() <= TERMS_SENT
+    toks = spread(memories.select("id", keep.alias("kept"), "content")).select("id", "kept", raw_tokens(F.col("content")).alias("toks"))
     rows = toks.select("id", "kept", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).withColumn("term", clip_term(F.lower("term")))
-    tf = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "kept", "doc_len", "term").agg(F.count("*").alias("tf"))
+    met = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    tf = met.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"), F.bool_or("kept").alias("kept"))  # kept is no key, so that both uses of tf are one plan
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(memories)
     scored = tf.where("kept").join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
@@ -74,50 +87,47 @@ def similarities(chunks: DataFrame, queries: DataFrame, k: int | None = None, le
     """
     spark = chunks.sparkSession
     cols = ["query_id", "vec", *(["grp"] if groups else [])]
+    schema = f"query_id long, id {dict(chunks.dtypes)['id']}, score double"
     total = queries.count()
     blocks = max(1, -(-total // QUERIES_AT_ONCE) * 2 if total > QUERIES_AT_ONCE else 1)
-    dealt = queries.select(*cols, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    dealt = queries.select(*cols, F.pmod(F.xxhash64(*cols[:2]), F.lit(blocks)).alias("block"))
     out = None
     for b in range(blocks):
         got = dealt.where(F.col("block") == b).toArrow().to_pylist()
         if not got:
             continue
         sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in got]), _unit([r["vec"] for r in got]), [r.get("grp") for r in got]))
-        part = chunks.select("id", "vec", *(["grp"] if groups else [])).mapInArrow(_compare(sent, k, least, groups, not_self), "query_id long, id long, score double")
+        part = chunks.select("id", "vec", *(["grp"] if groups else [])).mapInArrow(_compare(sent, k, least, groups, not_self), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], "query_id long, id long, score double")
+        return spark.createDataFrame([], schema)
     return out.groupBy("query_id", "id").agg(F.round(F.max("score"), DIGITS).alias("score"))
 
 
 def _compare(sent, k, least, groups, not_self):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors, wanted = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            sims = vectors @ _unit(batch.column(1).to_pylist()).T
+        for batch in (x.slice(at, ROWS_AT_ONCE) for x in batches for at in range(0, x.num_rows, ROWS_AT_ONCE)):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")  # chunks of one record beside each other
+            ids = ids[order]
+            sims = vectors @ _unit(batch.column(1).to_pylist())[order].T
             ok = np.ones(sims.shape, dtype=bool)
             if groups:
                 has = batch.column(2).to_pylist()
                 codes = {g: i for i, g in enumerate({*has, *wanted})}
-                ok &= np.array([codes[g] for g in wanted])[:, None] == np.array([codes[g] for g in has])
+                ok &= np.array([codes[g] for g in wanted])[:, None] == np.array([codes[g] for g in has])[order]
             if not_self:
                 ok &= query_ids[:, None] != ids
             if least is not None:
                 ok &= sims >= least - 1e-9
-            records, of = np.unique(ids, return_inverse=True)
-            best = np.full((len(query_ids), len(records)), -np.inf)
-            for r in range(len(ids)):  # chunks of one record
-                np.maximum(best[:, of[r]], np.where(ok[:, r], sims[:, r], -np.inf), out=best[:, of[r]])
-            best = np.round(best, DIGITS)
-            for q, line in zip(query_ids, best, strict=True):
-                at = np.flatnonzero(np.isfinite(line))
-                if k is not None and len(at) > k:
-                    edge = np.partition(line[at], len(at) - k)[len(at) - k]
-                    at = at[line[at] >= edge]
-                yield pa.RecordBatch.from_pydict({"query_id": np.full(len(at), q), "id": records[at], "score": line[at]})
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            records = ids[first]
+            best = np.round(np.maximum.reduceat(np.where(ok, sims, -np.inf), first, axis=1), DIGITS)
+            if k is not None and len(records) > k:  # of each query the k best, and ties with the last of them
+                best[best < np.partition(best, len(records) - k, axis=1)[:, [len(records) - k]]] = -np.inf
+            q, r = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_pydict({"query_id": query_ids[q], "id": pa.array(records[r], batch.schema.field(0).type), "score": best[q, r]})
 
     return compare
 
@@ -146,6 +156,23 @@ def recency_list(lists: list[DataFrame], memories: DataFrame) -> DataFrame:
     return dated.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("created_us"), "id")) - 1).select("query_id", "id", "rank")
 
 
+def lift(memories: DataFrame, chunks: DataFrame, cases: DataFrame, k: int, keep: Column) -> DataFrame:
+    """One row: of cases (query_id, the id that should be found; text; vec) how many hybrid search and vector search alone find among k, and the difference of their shares."""
+    cases, kept = cut(cases), chunks.join(memories.where(keep).select("id"), "id", "left_semi")
+    found = lambda hits: hits.where("id = query_id").select("query_id").distinct()
+    both = found(hybrid_recall(memories, chunks, cases, k, keep)).withColumn("h", F.lit(1))
+    alone = found(vector_top_k(kept, cases, k)).withColumn("v", F.lit(1))
+    counts = cases.select("query_id").join(both, "query_id", "left").join(alone, "query_id", "left").agg(F.count("*").alias("asked"), F.count("h").alias("hybrid_found"), F.count("v").alias("vector_found"))
+    return counts.withColumn("lift", F.round((F.col("hybrid_found") - F.col("vector_found")) / F.col("asked"), 6))
+
+
+def rarest_terms(memories: DataFrame) -> DataFrame:
+    """query_id, text: the term of each document that fewest documents hold, the first of equals."""
+    rows = term_rows(memories).select("id", "term")
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    return rows.join(df, "term").groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct("df", "term"))["term"].alias("text"))
+
+
 def hybrid_recall(memories: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, keep: Column, recency: bool = False) -> DataFrame:
     """query_id, id, score, rank: full-text and vector halves, each cut to k, fused and cut to k. queries: (query_id, text, vec)."""
     text = bm25_top_k(memories, queries, k, keep)
@@ -156,7 +183,7 @@ def hybrid_recall(memories: DataFrame, chunks: DataFrame, queries: DataFrame, k:
 
 
 def vector_recall(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The vector half alone, with fused scores."""
+    """The vector half alone, with fused scores. chunks: those of kept memories."""
     return fuse([vector_top_k(chunks, queries, k).select("query_id", "id", "rank")], k)
 
 

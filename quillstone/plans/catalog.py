@@ -74,7 +74,7 @@ def _fused(lists: list[str], k: int, name: str = "fused") -> str:
 )"""
 
 
-BENCH = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark"
+BENCH = "SELECT item_id AS query_id, text FROM benchmark"
 VECS = "SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS vec FROM benchmark JOIN embeddings ON vec_id = item_id * 11"
 
 
@@ -297,7 +297,7 @@ def _(spark, d):
     return graph.newest_versions(edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select("src", "kind", "dst"))
 
 
-_DRAFT = "SELECT vec_id // 5 AS query_id, CAST(embedding AS DOUBLE[]) AS vec, CASE WHEN (vec_id // 5) % 11 <> 0 THEN lang END AS grp FROM embeddings JOIN documents ON doc_id = vec_id // 5 WHERE vec_id % 5 = 0"
+_DRAFT = "SELECT vec_id // 5 AS query_id, CAST(embedding AS DOUBLE[]) AS vec, CASE WHEN (vec_id // 5) % 11 <> 0 THEN lang END AS grp FROM embeddings JOIN documents ON doc_id = vec_id // 5"
 
 
 def _near(least: float) -> tuple[str, Query]:
@@ -306,7 +306,7 @@ def _near(least: float) -> tuple[str, Query]:
 
     def near(spark, d):
         mem, chunks = T.memories(spark, d), T.chunks(spark, d)
-        drafts = chunks.where("chunk_no = 0").join(mem.select("id", F.col("project").alias("grp")), "id").select(F.col("id").alias("query_id"), "vec", "grp")
+        drafts = chunks.join(mem.select("id", F.col("project").alias("grp")), "id").select(F.col("id").alias("query_id"), "vec", "grp")
         return search.near_duplicates(drafts, chunks, mem, least)
 
     return sql, near
@@ -323,7 +323,7 @@ for _name, _least in (("near_dup_join", 0.80), ("near_dup_loose", 0.25)):
     "w AS (SELECT id, toks, unnest(range(0, n)) AS i FROM n) SELECT id, CAST(i AS INTEGER) AS chunk_no, CAST(len(toks[i * 446 + 1:i * 446 + 510]) AS INTEGER) AS n_tokens, coalesce(toks[i * 446 + 1], '') AS first_token FROM w",
 )
 def _(spark, d):
-    toks = T.memories(spark, d).select("id", text.tokens(F.col("content")).alias("toks"))
+    toks = search.spread(T.memories(spark, d).select("id", "content")).select("id", text.tokens(F.col("content")).alias("toks"))
     each = toks.select("id", F.posexplode(text.chunk_windows(F.col("toks"))).alias("chunk_no", "w"))
     return each.select("id", "chunk_no", F.size("w").alias("n_tokens"), F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("first_token"))
 
@@ -432,15 +432,24 @@ def _(spark, d):
     return evaluation.summary(evaluation.overlap(*_exact_and_got(spark, d), 10))
 
 
-_LIT = "SELECT doc_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM documents WHERE doc_id < 100 AND doc_id % 7 = 1"
+_CASES = f"""WITH held AS (SELECT DISTINCT id, unnest(toks) AS term FROM tok), held_by AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+rarest AS (SELECT id, term FROM (SELECT id, held.term, row_number() OVER (PARTITION BY id ORDER BY df, held.term) AS n FROM held JOIN held_by ON held_by.term = held.term) AS x WHERE n = 1)
+SELECT rarest.id AS query_id, term AS text, CAST(embedding AS DOUBLE[]) AS vec FROM rarest JOIN mem ON mem.id = rarest.id JOIN embeddings ON vec_id = rarest.id % (SELECT count(*) FROM embeddings) WHERE {KEEP}"""
 
 
-@register("lexical_lift", f"WITH {_bm25(_LIT)}, {_top('bm', 10)} SELECT count(*) FILTER (WHERE top.id = q.query_id) AS found, (SELECT count(*) FROM q) AS asked FROM q LEFT JOIN top ON top.query_id = q.query_id")
+@register(
+    "lexical_lift",
+    f"WITH {_bm25(_CASES)}, {_top('bm', 10, 'texts')}, {_cosines('SELECT query_id, vec FROM q', KEEP, 'JOIN mem ON mem.id = unit.id')}, {_top('cs', 10, 'vectors')}, {_fused(['vectors', 'texts'], 10)}, "
+    "n AS (SELECT (SELECT count(*) FROM q) AS asked, (SELECT count(*) FROM fused WHERE id = query_id) AS hybrid_found, (SELECT count(*) FROM vectors WHERE id = query_id) AS vector_found) "
+    "SELECT asked, hybrid_found, vector_found, round((hybrid_found - vector_found) * 1.0 / asked, 6) AS lift FROM n",
+)
 def _(spark, d):
-    docs = T.table(spark, d, "documents").where("doc_id < 100 AND doc_id % 7 = 1")
-    q = docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
-    top = search.bm25_top_k(T.memories(spark, d), q, 10, filters.keep()).where("id = query_id")
-    return q.select("query_id").join(top.select("query_id", "id"), "query_id", "left").agg(F.count("id").alias("found"), F.count("*").alias("asked"))
+    """Every document that search may return is asked for by its rarest term, with a vector that is not its own: hybrid search against vector search alone."""
+    mem, vectors = T.memories(spark, d), T.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    number = vectors.agg(F.count("*").alias("n"))
+    asked = search.rarest_terms(mem).join(mem.where(filters.keep()).select(F.col("id").alias("query_id")), "query_id", "left_semi")
+    cases = asked.crossJoin(F.broadcast(number)).withColumn("vec_id", F.col("query_id") % F.col("n")).join(vectors, "vec_id").select("query_id", "text", "vec")  # number is one row
+    return search.lift(mem, T.chunks(spark, d), cases, 10, filters.keep())
 
 
 _STEPS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.8]

@@ -8,9 +8,11 @@ object store a table format takes its place.
 from __future__ import annotations
 
 import os
+import re
+import socket
 import time
 from collections.abc import Iterable
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -33,6 +35,24 @@ class WriteLocked(RuntimeError):
     """Another writer holds the store."""
 
 
+def _left_behind(lock: str) -> bool:
+    """Whether a lock names a process of this machine that has ended. Locks of other machines, and empty ones, are never taken over."""
+    try:
+        with open(lock) as f:
+            host, _, pid = f.read().partition(" ")
+    except FileNotFoundError:
+        return False
+    if host != socket.gethostname() or not pid.isdigit():
+        return False
+    try:
+        os.kill(int(pid), 0)
+    except ProcessLookupError:
+        return True
+    except PermissionError:
+        return False
+    return False
+
+
 def new_id(at_ms: int | None = None) -> str:
     """A ULID: 48 bits of time, 80 random bits, 26 digits."""
     number = ((time.time_ns() // 1_000_000 if at_ms is None else at_ms) << 80) | int.from_bytes(os.urandom(10), "big")
@@ -92,10 +112,15 @@ class Store:
     @contextmanager
     def _writing(self):
         lock = f"{self.path}/LOCK"
+        if _left_behind(lock):  # its writer is gone
+            with suppress(FileNotFoundError):
+                os.remove(lock)
         try:
-            os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+            handle = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
         except FileExistsError:
             raise WriteLocked(self.path) from None
+        with os.fdopen(handle, "w") as f:
+            f.write(f"{socket.gethostname()} {os.getpid()}")
         try:
             yield
         finally:
@@ -158,27 +183,36 @@ class Store:
         numbers = {r.id: n for n, r in enumerate(fresh.select("id").collect())}
         numbered = self.spark.createDataFrame([(n, i) for i, n in numbers.items()], "query_id long, own string")
         drafts = numbered.join(chunks.withColumnRenamed("id", "own"), "own").join(fresh.select(F.col("id").alias("own"), F.col("project").alias("grp")), "own")
-        keyed, names = _numbered(known)
-        store = self.table("chunks").withColumnRenamed("id", "name").join(names, "name").select(F.col("number").alias("id"), "vec")
-        found = search.near_duplicates(drafts.select("query_id", "vec", "grp"), store, keyed).join(names.withColumnRenamed("number", "id"), "id").orderBy("rank").collect()
+        found = search.near_duplicates(drafts.select("query_id", "vec", "grp"), self.table("chunks").select("id", "vec"), known).orderBy("rank").collect()
         return {i: [r for r in found if r.query_id == n] for i, n in numbers.items()}
 
+    def _query(self, text: str) -> DataFrame:
+        return self.spark.createDataFrame([(0, text)], "query_id long, text string").withColumn("vec", embed(self.embedder, first_window(F.col("text"))))
+
+    def _shown(self, out: DataFrame) -> list[Row]:
+        shown = self.table("memories").select("id", "content", "project", "agent", "session_id", "created_us", "superseded", "metadata")
+        rows = out.join(shown, "id").orderBy("section", "ordinal")
+        return rows.select("id", "content", "project", "agent", "session_id", "created_us", "superseded", "metadata", "score", "section", "ordinal").collect()
+
     def recall(self, text: str, limit: int = LIMIT, project: str | None = None, agent: str | None = None, filters: dict[str, fl.Filter] | None = None, expand_related: bool = False, recency: bool = False) -> list[Row]:
-        """Hits (id, content, score, section, ordinal) of hybrid search, best first, related memories after them."""
-        keyed, names = _numbered(self.table("memories"))
-        chunks = self.table("chunks").withColumnRenamed("id", "name").join(names, "name").select(F.col("number").alias("id"), "vec")
-        q = self.spark.createDataFrame([(0, text)], "query_id long, text string").withColumn("vec", embed(self.embedder, first_window(F.col("text"))))
-        keep = fl.keep(project, agent, filters)
-        hits = search.hybrid_recall(keyed, chunks, q, limit, keep, recency)
-        edges = self.table("relations")
+        """Hits (id, content, score, section, ordinal) of hybrid search, best first, related memories after them. Ties fall to smaller ids."""
+        mem, keep = self.table("memories"), fl.keep(project, agent, filters)
+        hits = search.hybrid_recall(mem, self.table("chunks").select("id", "vec"), self._query(text), limit, keep, recency)
         if expand_related:
-            src, dst = names.toDF("src_no", "src"), names.toDF("dst_no", "dst")
-            edges = edges.join(src, "src").join(dst, "dst").select(F.col("src_no").alias("src"), "kind", F.col("dst_no").alias("dst"))
-            out = search.expand_related(hits, keyed, edges, keep)
-        else:
-            out = hits.select("query_id", F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score")
-        shown = keyed.select(F.col("id"), F.col("name"), "content", "project", "agent", "metadata")
-        return out.join(shown, "id").orderBy("section", "ordinal").select(F.col("name").alias("id"), "content", "project", "agent", "metadata", "score", "section", "ordinal").collect()
+            return self._shown(search.expand_related(hits, mem, self.table("relations"), keep))
+        return self._shown(hits.select("query_id", F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"))
+
+    def search_text(self, text: str, limit: int = LIMIT, project: str | None = None, agent: str | None = None, filters: dict[str, fl.Filter] | None = None) -> list[Row]:
+        """Hits of full-text search alone, with BM25 scores."""
+        query = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+        hits = search.bm25_top_k(self.table("memories"), query, limit, fl.keep(project, agent, filters))
+        return self._shown(hits.select(F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"))
+
+    def recall_vector(self, text: str, limit: int = LIMIT, project: str | None = None, agent: str | None = None, filters: dict[str, fl.Filter] | None = None) -> list[Row]:
+        """Hits of vector search alone, with fused scores."""
+        kept = self.table("memories").where(fl.keep(project, agent, filters)).select("id")
+        hits = search.vector_recall(self.table("chunks").select("id", "vec").join(kept, "id", "left_semi"), self._query(text), limit)
+        return self._shown(hits.select(F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"))
 
     def get(self, id: str) -> Row | None:
         return graph.live(self.table("memories")).where(F.col("id") == id).first()
@@ -231,11 +265,11 @@ class Store:
             self._commit({"memories": mem, "relations": edges, "entity_tags": tags, "chunks": self.table("chunks").join(mem.select("id"), "id", "left_semi")})
 
 
-def _numbered(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(memories under numbers, with `name`; number and name). Search works on 64-bit hashes of ids; ties in score fall by them."""
-    number = F.xxhash64("id")
-    keyed = memories.withColumn("name", F.col("id")).withColumn("id", number)
-    return keyed, memories.select(number.alias("number"), F.col("id").alias("name"))
+def checked_id(id: Any) -> str:
+    """The id, if it is well formed; else an error."""
+    if not isinstance(id, str) or not re.fullmatch("[0-7][0-9A-HJKMNP-TV-Z]{25}", id):
+        raise ValueError(f"not an id: {id!r}")
+    return id
 
 
 def check_ids(ids: Iterable[str], spark: SparkSession) -> list[str]:

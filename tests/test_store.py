@@ -2,43 +2,61 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.functions.embed import HashingEmbedder, WordAxisEmbedder
+from quillstone import cli
+from quillstone.functions.embed import HashingEmbedder, PrecomputedEmbedder
 from quillstone.operators import filters as fl
 from quillstone.plans.tools import Tools
 from quillstone.sources import oplog, project, synthetic
 from quillstone.sources.store import Draft, Store, WriteLocked, check_ids, new_id
 from quillstone.streaming import oplog as stream
 
-GROUPS = [{"car", "automobile", "vehicle"}, {"fast", "quick"}, {"engine"}, {"cat", "feline"}]
+#: Topics of a kitchen notebook; each has an axis, and its words mean the same.
+TOPICS = ["soup broth stew bouillon", "bread loaf", "oven", "salt brine"]
+
+
+def topics():
+    """An embedder that counts the words of each topic; made here, as workers cannot import this module."""
+    groups = [x.split() for x in TOPICS]
+
+    class Topics:
+        id, dims = "topics", len(groups)
+
+        def embed(self, texts: pd.Series) -> pd.Series:
+            counts = [np.array([sum(text.lower().split().count(w) for w in g) for g in groups], dtype=float) for text in texts.fillna("")]
+            return pd.Series([(c / max(np.linalg.norm(c), 1e-12)).tolist() for c in counts])
+
+    return Topics()
 
 
 def test_store_life(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"), WordAxisEmbedder(GROUPS), create=True)
+    store = Store(spark, str(tmp_path / "s"), topics(), create=True)
     a, b, c = store.remember(
-        Draft("the car is fast", "p", "cli", metadata={"stars": 5, "topic": "ops"}, entities=["car"]), Draft("a feline sleeps", "p", "cli", entities=["cat"]), Draft("engine notes", None, "cli")
+        Draft("the soup needs bread", "p", "cli", metadata={"stars": 5, "topic": "ops"}, entities=["soup"]), Draft("brine for the fish", "p", "cli", entities=["salt"]), Draft("oven notes", None, "cli")
     )
-    hits = store.recall("quick automobile", limit=2)
+    hits = store.recall("loaf broth", limit=2)
     assert hits[0].id == a.id and len(hits) == 2  # found by meaning alone
-    assert [r.id for r in store.recall("feline", limit=1)] == [b.id]
-    assert {r.id for r in store.recall("car", project="p")} == {a.id, b.id}
-    assert [r.id for r in store.recall("car", filters={"stars": fl.Range(low=4)})] == [a.id]
+    assert [r.id for r in store.recall("brine", limit=1)] == [b.id]
+    assert {r.id for r in store.recall("soup", project="p")} == {a.id, b.id}
+    assert [r.id for r in store.recall("soup", filters={"stars": fl.Range(low=4)})] == [a.id]
     with pytest.raises(Exception, match="another type"):
-        store.recall("car", filters={"stars": fl.Eq("five")})
-    again = store.remember(Draft("the car is fast now", "p", "cli", relations=[("about", b.id)], supersedes=[a.id]), similar=True)[0]
-    assert [r["name"] for r in again.similar] == [a.id]
+        store.recall("soup", filters={"stars": fl.Eq("five")})
+    again = store.remember(Draft("the soup needs bread now", "p", "cli", relations=[("about", b.id)], supersedes=[a.id]), similar=True)[0]
+    assert [r.id for r in again.similar] == [a.id]
     assert [(r.kind, r.other, r.outgoing) for r in store.related(again.id)] == [("about", b.id, True), ("supersedes", a.id, True)]
-    assert a.id not in {r.id for r in store.recall("car fast")} and store.get(a.id) is not None
-    near = store.recall("fast car", limit=1, expand_related=True)
+    assert a.id not in {r.id for r in store.recall("soup bread")} and store.get(a.id) is not None
+    near = store.recall("bread soup", limit=1, expand_related=True)
     assert [r.section for r in near] == ["hit", "related"] and near[1].id == b.id and near[1].score == 0
     with pytest.raises(Exception, match="own project"):
         store.remember(Draft("x", "q", supersedes=[b.id]))
     with pytest.raises(ValueError, match="no live memory"):
         store.remember(Draft("x", relations=[("about", "nobody")]))
     assert store.forget(b.id) and not store.forget(b.id) and store.get(b.id) is None
-    assert store.entity_members("cat") == [] and store.entities_of(a.id) == ["car"]
+    assert store.entity_members("salt") == [] and store.entities_of(a.id) == ["soup"]
     before = store.stats()
     assert (before["live"], before["forgotten"]) == (3, 1)
     store.vacuum()
@@ -58,10 +76,53 @@ def test_store_life(spark, tmp_path):
 
 
 def test_near_copy_in_a_later_window(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"), WordAxisEmbedder(GROUPS), create=True)
-    kept = store.remember(Draft("engine notes", "p"), Draft("fast", "p"), Draft("engine", "q"))[0]
-    draft = store.remember(Draft("cat " * 446 + "engine " * 200, "p"), similar=True)[0]
-    assert [(r["name"], r["score"]) for r in draft.similar] == [(kept.id, 1.0)]  # once, by the second window; the first has 0.14
+    store = Store(spark, str(tmp_path / "s"), topics(), create=True)
+    kept = store.remember(Draft("oven notes", "p"), Draft("bread", "p"), Draft("oven", "q"))[0]
+    draft = store.remember(Draft("salt " * 446 + "oven " * 200, "p"), similar=True)[0]
+    assert [(r.id, r.score) for r in draft.similar] == [(kept.id, 1.0)]  # once, by the second window; the first has 0.14
+
+
+def test_each_half_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), topics(), create=True)
+    a, b, c = store.remember(Draft("soup soup salt", "p"), Draft("soup", "p"), Draft("stew", "q"))
+    assert [r.id for r in store.search_text("soup")] == [a.id, b.id] or [r.id for r in store.search_text("soup")] == [b.id, a.id]
+    assert store.search_text("broth") == [] and {r.id for r in store.recall_vector("broth", limit=2)} == {b.id, c.id}
+    assert [r.id for r in store.recall_vector("broth", project="q")] == [c.id]
+    ties = store.remember(*[Draft("bread", "t") for _ in range(4)])
+    assert [r.id for r in store.recall("bread", project="t", limit=3)] == sorted(r.id for r in ties)[:3]
+
+
+def test_lock_of_an_ended_writer(spark, tmp_path):
+    import socket
+    import subprocess
+
+    store = Store(spark, str(tmp_path / "s"), create=True)
+    ended = subprocess.Popen(["true"])
+    ended.wait()
+    (tmp_path / "s/LOCK").write_text(f"{socket.gethostname()} {ended.pid}")
+    store.vacuum()
+    (tmp_path / "s/LOCK").write_text(f"elsewhere {ended.pid}")
+    with pytest.raises(WriteLocked):
+        store.vacuum()
+
+
+def test_known_vectors(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), PrecomputedEmbedder("two", {"alpha": [1.0, 0.0], "beta": [0.0, 1.0]}))
+    a, _ = store.remember(Draft("alpha"), Draft("beta"))
+    assert store.recall_vector("alpha", limit=1)[0].id == a.id
+    with pytest.raises(Exception, match="no vector"):
+        store.recall_vector("gamma")
+
+
+def test_command_line(spark, tmp_path):
+    ask = lambda *words: cli.run(spark, ["--store", str(tmp_path / "s"), "--project", "p", *words])
+    code, one = ask("remember", "salt the broth", "--entity", "soup", "--meta", "stars=4")
+    assert code == 0
+    assert [h["id"] for h in ask("recall", "broth", "--filter", "stars>=3")[1]["hits"]] == [one["id"]]
+    assert ask("recall", "broth", "--filter", "stars>=5")[1]["hits"] == [] and ask("recall", "broth", "--filter", "stars=..")[0] == 1
+    assert ask("related", one["id"])[1]["entities"] == ["soup"] and ask("forget", "bogus")[0] == 1
+    assert ask("forget", one["id"])[1]["forgotten"] and ask("vacuum")[0] == 0 and ask("stats")[1]["live"] == 0
+    assert [cli.human_bytes(n) for n in (0, 1023, 1536, 5 << 30)] == ["0 B", "1023 B", "1.5 KiB", "5.0 GiB"]
 
 
 def test_half_written_snapshot_is_not_seen(spark, tmp_path, monkeypatch):
@@ -86,10 +147,21 @@ def test_tools_and_log(spark, tmp_path):
     assert [h["id"] for h in tools.call("recall", {"query": "alpha"})["hits"]] == [one["id"]]
     assert tools.call("recall", {"query": "alpha", "project": None})["isError"] and tools.call("fly", {})["isError"]
     assert tools.call("related", {"id": one["id"]})["related"] == [] and tools.call("forget", {"id": one["id"]})["forgotten"]
+    typed = tools.call("remember", {"content": "gamma", "metadata": {"n": 1}})
+    wrong = tools.call("recall", {"query": "gamma", "filters": {"n": "one"}})
+    assert not typed["isError"] and wrong["isError"] and "another type" in wrong["error"]
+    assert tools.call("forget", {"id": "bogus"})["isError"] and tools.call("related", {"id": "bogus"})["isError"]
+    hit = tools.call("recall", {"query": "gamma"})["hits"][0]
+    assert (hit["project"], hit["agent"], hit["superseded"]) == ("p", "tools", False) and hit["created_us"] > 0
+    (tmp_path / "file").touch()
+    with pytest.warns(UserWarning, match="not written"):
+        blocked = Tools(tools.store, log=str(tmp_path / "file"))
+    with pytest.warns(UserWarning, match="not written"):
+        assert not blocked.call("stats", {})["isError"]
     ops = oplog.read(spark, log)
     figures = tools.store.report(ops)
-    assert (figures["sessions"], figures["recalls"], figures["recall_errors"], figures["remembers"], figures["forgets"], figures["related"]) == (1, 2, 1, 1, 1, 1)
-    assert figures["top"] == [{"id": one["id"], "served": 1, "preview": "(forgotten since)"}] and figures["never_recalled"] == 0
+    assert (figures["sessions"], figures["recalls"], figures["recall_errors"], figures["remembers"], figures["forgets"], figures["related"]) == (1, 4, 2, 2, 1, 2)
+    assert figures["top"] == [{"id": one["id"], "served": 1, "preview": "(forgotten since)"}, {"id": typed["id"], "served": 1, "preview": "gamma"}] and figures["never_recalled"] == 0
 
 
 def test_bad_log_lines(spark):
