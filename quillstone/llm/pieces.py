@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Longest word that is segmented by the lattice (its boundaries are bits of a long); longer ones are merged in Python.
 LONGEST = 60
 #: Bytes of text a block of documents holds about.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Fixed values of the model file: kinds of model and of pieces.
 UNIGRAM, BPE = 1, 2
 #: Number of the bit of a fold's result that asks for the longer fold; least number of buckets that words are dealt to; input partitions whose words are segmented
