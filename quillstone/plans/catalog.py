@@ -75,6 +75,8 @@ def _fused(lists: list[str], k: int, name: str = "fused") -> str:
 
 
 BENCH = "SELECT item_id AS query_id, text FROM benchmark"
+#: What a score may gain when it is rounded.
+ROUNDING = 1e-6
 VECS = "SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS vec FROM benchmark JOIN embeddings ON vec_id = item_id * 11"
 
 
@@ -148,7 +150,7 @@ def _(spark, d):
 
 @register("vector_dedup_chunks", f"WITH {_cosines(VECS)} SELECT query_id, id, score FROM cs WHERE score >= 0.2")
 def _(spark, d):
-    return search.similarities(T.chunks(spark, d), _vectors(spark, d)).where("score >= 0.2")
+    return search.similarities(T.chunks(spark, d), _vectors(spark, d), least=0.2 - ROUNDING).where("score >= 0.2")
 
 
 @register("vector_filtered", f"WITH {MEM}, {_cosines(VECS, KEEP + " AND project = 'en'", 'JOIN mem ON mem.id = unit.id')}, {_top('cs', 8)} SELECT query_id, id, score, rank FROM top")
@@ -408,8 +410,8 @@ _RECALL = f"{_cosines(VECS)}, {_top('cs', 10, 'exact')}, part AS (SELECT * FROM
 
 
 def _exact_and_got(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sims = search.similarities(T.chunks(spark, d), _vectors(spark, d))
-    return search.top_k(sims, 10), search.top_k(sims.where("id % 4 <> 0"), 10)
+    chunks, asked = T.chunks(spark, d), _vectors(spark, d)
+    return search.vector_top_k(chunks, asked, 10), search.vector_top_k(chunks.where("id % 4 <> 0"), asked, 10)
 
 
 @register("recall_at_k", f"WITH {_RECALL} SELECT exact.query_id, count(got.id) / 10.0 AS recall FROM exact LEFT JOIN got ON got.query_id = exact.query_id AND got.id = exact.id GROUP BY exact.query_id")
@@ -457,7 +459,26 @@ _STEPS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.8]
 
 @register("near_dup_threshold_sweep", f"WITH {_cosines(VECS)}, t AS (SELECT unnest([{', '.join(f'CAST({s} AS DOUBLE)' for s in _STEPS)}]) AS threshold) SELECT threshold, round(count(*) FILTER (WHERE score >= threshold) * 1.0 / count(*), 6) AS share FROM cs CROSS JOIN t GROUP BY threshold")
 def _(spark, d):
-    return evaluation.thresholds(search.similarities(T.chunks(spark, d), _vectors(spark, d)), _STEPS)
+    chunks, asked = T.chunks(spark, d), _vectors(spark, d)
+    pairs = chunks.agg(F.count_distinct("id").alias("records")).crossJoin(asked.agg(F.count("*").alias("asked"))).select((F.col("records") * F.col("asked")).alias("n"))  # one row each
+    return evaluation.thresholds(search.similarities(chunks, asked, least=min(_STEPS) - ROUNDING), _STEPS, pairs)
+
+
+_OWN = "SELECT CAST(item_id * 11 // 5 AS BIGINT) AS query_id, CAST(embedding AS DOUBLE[]) AS vec FROM benchmark JOIN embeddings ON vec_id = item_id * 11"
+_MARKS = "".join(f", min(score) FILTER (WHERE n >= ceil({p} * m)) AS p{round(100 * p)}" for p in evaluation.MARKS)
+
+
+@register(
+    "near_dup_distribution",
+    f"WITH {_cosines(_OWN, 'query_id <> unit.id')}, {_top('cs', 10)}, picked AS (SELECT CASE rank WHEN 0 THEN 'nearest' ELSE 'tenth' END AS kind, score FROM top WHERE rank IN (0, 9)), "
+    "o AS (SELECT kind, score, row_number() OVER (PARTITION BY kind ORDER BY score) AS n, count(*) OVER (PARTITION BY kind) AS m FROM picked) "
+    f"SELECT kind, count(*) AS scores, min(score) AS least{_MARKS}, max(score) AS most FROM o GROUP BY kind",
+)
+def _(spark, d):
+    """How alike a vector is to the nearest and to the tenth nearest of the other records, over all vectors asked for."""
+    asked = _vectors(spark, d).select(F.floor(F.col("query_id") * 11 / 5).cast("long").alias("query_id"), "vec")
+    best = search.vector_top_k(T.chunks(spark, d), asked, 10, not_self=True).where("rank IN (0, 9)")
+    return evaluation.distribution(best.withColumn("kind", F.when(F.col("rank") == 0, "nearest").otherwise("tenth")), "kind")
 
 
 @register("snippet_preview", f"WITH {MEM} SELECT id, CASE WHEN length(content) > 160 THEN substring(content, 1, 160) || '…' ELSE content END AS snippet, CASE WHEN length(split_part(content, chr(10), 1)) > 96 OR contains(content, chr(10)) THEN substring(split_part(content, chr(10), 1), 1, 96) || '…' ELSE content END AS preview FROM mem")
