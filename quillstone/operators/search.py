@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,17 @@ from .lineage import cut
 #: Digits that scores are rounded to before they are ranked; query vectors sent to the executors at once; chunk rows they are multiplied with at once;
 #: bytes up to which a table in few pieces is dealt out to all cores before its texts are read.
 DIGITS, QUERIES_AT_ONCE, ROWS_AT_ONCE, SMALL = 6, 4096, 1024, 1 << 28
-#: Distinct terms of a batch of queries that are sent to all executors; a batch of more is joined by a shuffle.
-TERMS_SENT = 1 << 19
+#: Distinct terms of a batch of queries that are sent to all executors; a batch of more is joined by a shuffle. Up to how many the scan of stored postings is given.
+TERMS_SENT, TERMS_PUSHED = 1 << 19, 1000
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Stored postings (id, term, tf, doc_len), as term_rows gives them, and the documents and tokens that they stand for."""
+
+    postings: DataFrame
+    n_docs: int
+    total_tokens: int
 
 
 def spread(texts: DataFrame) -> DataFrame:
@@ -45,18 +55,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("term", clip_term(F.col("term"))).distinct()
 
 
-def bm25_scores(memories: DataFrame, queries: DataFrame, keep: Column) -> DataFrame:
-    """query_id, id, score > 0 of kept documents. Statistics cover all documents; only rows of asked terms are shuffled."""
-    asked = query_terms(queries)
-    terms = asked.select("term").distinct()
-    few = terms.limit(TERMS_SENT + 1).count() <= TERMS_SENT
+def _found_in_texts(memories: DataFrame, terms: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, doc_len, term, tf) of the terms in all documents and in kept ones, from the texts."""
     toks = spread(memories.select("id", keep.alias("kept"), "content")).select("id", "kept", raw_tokens(F.col("content")).alias("toks"))
     rows = toks.select("id", "kept", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).withColumn("term", clip_term(F.lower("term")))
-    met = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    met = rows.join(_sent(terms), "term", "left_semi")
     tf = met.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"), F.bool_or("kept").alias("kept"))  # kept is no key, so that both uses of tf are one plan
+    return tf, tf.where("kept")
+
+
+def _found_in_index(memories: DataFrame, terms: DataFrame, keep: Column, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from stored postings. Few terms go to the scan, which skips what lies outside them."""
+    few = [r.term for r in terms.limit(TERMS_PUSHED + 1).collect()]
+    tf = postings.where(F.col("term").isin(few)) if len(few) <= TERMS_PUSHED else postings.join(_sent(terms), "term", "left_semi")
+    return tf, tf.join(memories.where(keep).select("id"), "id", "left_semi")
+
+
+def _sent(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.limit(TERMS_SENT + 1).count() <= TERMS_SENT else terms
+
+
+def bm25_scores(memories: DataFrame, queries: DataFrame, keep: Column, index: TextIndex | None = None) -> DataFrame:
+    """query_id, id, score > 0 of kept documents, from the index if one is given. Statistics cover all documents; only rows of asked terms are shuffled."""
+    asked = query_terms(queries)
+    terms = asked.select("term").distinct()
+    if index is None:
+        (tf, kept), stats = _found_in_texts(memories, terms, keep), corpus_stats(memories)
+    else:
+        tf, kept = _found_in_index(memories, terms, keep, index.postings)
+        stats = memories.sparkSession.range(1).select(F.lit(index.n_docs).alias("n_docs"), F.lit(index.total_tokens).alias("total_tokens"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(memories)
-    scored = tf.where("kept").join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    scored = kept.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
     gain = scoring.bm25(scoring.idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("total_tokens") / F.col("n_docs"))
     return scored.groupBy("query_id", "id").agg(F.round(F.sum(gain), DIGITS).alias("score")).where("score > 0")
 
@@ -67,8 +96,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", best - 1).where(F.col("rank") < k)
 
 
-def bm25_top_k(memories: DataFrame, queries: DataFrame, k: int, keep: Column) -> DataFrame:
-    return top_k(bm25_scores(memories, queries, keep), k)
+def bm25_top_k(memories: DataFrame, queries: DataFrame, k: int, keep: Column, index: TextIndex | None = None) -> DataFrame:
+    return top_k(bm25_scores(memories, queries, keep, index), k)
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -173,9 +202,9 @@ def rarest_terms(memories: DataFrame) -> DataFrame:
     return rows.join(df, "term").groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct("df", "term"))["term"].alias("text"))
 
 
-def hybrid_recall(memories: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, keep: Column, recency: bool = False) -> DataFrame:
+def hybrid_recall(memories: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, keep: Column, recency: bool = False, index: TextIndex | None = None) -> DataFrame:
     """query_id, id, score, rank: full-text and vector halves, each cut to k, fused and cut to k. queries: (query_id, text, vec)."""
-    text = bm25_top_k(memories, queries, k, keep)
+    text = bm25_top_k(memories, queries, k, keep, index)
     kept = chunks.join(memories.where(keep).select("id"), "id", "left_semi")
     vectors = vector_top_k(kept, queries, k)
     lists = [vectors.select("query_id", "id", "rank"), text.select("query_id", "id", "rank")]

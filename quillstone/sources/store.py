@@ -1,16 +1,18 @@
 """A store of memories in snapshots.
 
-Every change writes a whole snapshot and then moves the CURRENT pointer to it, so readers see the old store or the
-new one. One writer at a time, by a lock file. The pointer lives on a local or mounted file system; on an
-object store a table format takes its place.
+A snapshot is a list of folders for each table. Every change writes folders of the rows it adds, then a list that names them
+beside the older ones, then moves the CURRENT pointer to that list, so readers see the old store or the new one. Forgotten and superseded memories
+get a mark. One writer at a time, by a lock file. Lists and pointer live on a local or mounted file system; on an object store a table format takes their place.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import socket
 import time
+import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field
@@ -25,7 +27,12 @@ from ..operators import filters as fl
 from ..operators import graph, report, search
 
 MEMORIES = f"id string, content string, project string, agent string, session_id string, created_us bigint, tombstone boolean, superseded boolean, metadata map<string,{fl.SCALAR}>"
-TABLES = {"memories": MEMORIES, "chunks": "id string, chunk_no int, vec array<double>", "entity_tags": "entity string, id string", "relations": "src string, kind string, dst string"}
+TABLES = {
+    "memories": MEMORIES, "marks": "id string, tombstone boolean, superseded boolean", "chunks": "id string, chunk_no int, vec array<double>",
+    "postings": "id string, term string, tf bigint, doc_len int", "entity_tags": "entity string, id string", "relations": "src string, kind string, dst string",
+}
+#: Folders a table may have; beyond that the newest FOLDED become one.
+FOLDERS, FOLDED = 64, 32
 #: Digits of ids: time first, so that ids sort by time. Most entries of metadata; default number of hits.
 _DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 METADATA, LIMIT = 65_535, 8
@@ -94,20 +101,38 @@ class Store:
             os.makedirs(path, exist_ok=True)
             with self._writing():
                 self._commit({})
-        meta = spark.read.json(f"{self._snapshot()}/store_meta").first()
-        if (meta.model_id, meta.dims) != (self.embedder.id, self.embedder.dims):
-            raise ValueError(f"the store was made with {meta.model_id} ({meta.dims} dimensions), not {self.embedder.id} ({self.embedder.dims})")
+        now = self._now()
+        if (now["model_id"], now["dims"]) != (self.embedder.id, self.embedder.dims):
+            raise ValueError(f"the store was made with {now['model_id']} ({now['dims']} dimensions), not {self.embedder.id} ({self.embedder.dims})")
 
-    def _snapshot(self) -> str:
+    def _now(self) -> dict[str, Any]:
+        """The current snapshot: version, model_id, dims, n_docs and total_tokens (dead memories included), and the folders of each table."""
         with open(f"{self.path}/CURRENT") as f:
-            return f"{self.path}/{f.read().strip()}"
+            name = f.read().strip()
+        with open(f"{self.path}/{name}.json") as f:
+            return json.load(f)
 
     @property
     def version(self) -> int:
-        return int(self._snapshot().rpartition("-")[2])
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self._snapshot()}/{name}")
+        return self._now()["version"]
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.path}/{x}" for x in folders])
+
+    def table(self, name: str, now: dict[str, Any] | None = None) -> DataFrame:
+        """A table of a snapshot, the current one if none is given; memories come with what their marks say."""
+        folders = (now or self._now())["tables"]
+        df = self._read(name, folders[name])
+        if name != "memories" or not folders["marks"]:
+            return df
+        marks = self._read("marks", folders["marks"]).groupBy("id").agg(F.bool_or("tombstone").alias("gone"), F.bool_or("superseded").alias("old"))
+        flags = {"tombstone": F.col("tombstone") | F.coalesce("gone", F.lit(False)), "superseded": F.col("superseded") | F.coalesce("old", F.lit(False))}
+        return df.join(marks, "id", "left").select(*[flags.get(c, F.col(c)).alias(c) for c in df.columns])
+
+    def _index(self, now: dict[str, Any]) -> search.TextIndex:
+        return search.TextIndex(self.table("postings", now), now["n_docs"], now["total_tokens"])
 
     @contextmanager
     def _writing(self):
@@ -126,21 +151,33 @@ class Store:
         finally:
             os.remove(lock)
 
-    def _commit(self, changed: dict[str, DataFrame]) -> None:
-        n = self.version + 1 if os.path.exists(f"{self.path}/CURRENT") else 0
-        name = f"snap-{n}"
-        for table, schema in TABLES.items():
-            df = changed.get(table)
-            if df is None:
-                df = self.table(table) if n else self.spark.createDataFrame([], schema)
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/{table}")
-        meta = self.spark.createDataFrame([(self.embedder.id, self.embedder.dims)], "model_id string, dims int")
-        meta.coalesce(1).write.mode("overwrite").json(f"{self.path}/{name}/store_meta")
-        with open(f"{self.path}/CURRENT.tmp", "w") as f:
-            f.write(name)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{self.path}/CURRENT.tmp", f"{self.path}/CURRENT")
+    def _write(self, table: str, df: DataFrame) -> str:
+        folder = f"data/{table}-{uuid.uuid4().hex}"
+        if table == "postings":  # in order, so that a search skips row groups without its terms
+            df = df.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        df.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _commit(self, added: dict[str, DataFrame], n_docs: int = 0, total_tokens: int = 0, whole: bool = False) -> None:
+        """A snapshot with the rows added, of so many documents and tokens; whole: with these alone."""
+        empty = {"version": -1, "n_docs": 0, "total_tokens": 0, "tables": {t: [] for t in TABLES}}
+        old = self._now() if os.path.exists(f"{self.path}/CURRENT") else empty
+        before = empty if whole else old
+        tables = {t: before["tables"][t] + ([self._write(t, added[t])] if t in added else []) for t in TABLES}
+        for t, folders in tables.items():
+            if len(folders) > FOLDERS:
+                folders[-FOLDED:] = [self._write(t, self._read(t, folders[-FOLDED:]))]
+        new = {
+            "version": old["version"] + 1, "model_id": self.embedder.id, "dims": self.embedder.dims,
+            "n_docs": before["n_docs"] + n_docs, "total_tokens": before["total_tokens"] + total_tokens, "tables": tables,
+        }
+        name = f"snap-{new['version']}"
+        for file, text in ((f"{name}.json", json.dumps(new)), ("CURRENT", name)):
+            with open(f"{self.path}/{file}.tmp", "w") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+            os.replace(f"{self.path}/{file}.tmp", f"{self.path}/{file}")
 
     def _chunks(self, rows: DataFrame) -> DataFrame:
         each = rows.select("id", F.posexplode(chunk_windows(tokens(F.col("content")))).alias("chunk_no", "window"))
@@ -155,64 +192,67 @@ class Store:
                 raise ValueError("too much metadata")
             rows.append((i, d.content, d.project or None, d.agent, d.session_id or None, now, False, False, {k: fl.scalar(v) for k, v in d.metadata.items()}))
         fresh = self.spark.createDataFrame(rows, MEMORIES)
-        tags = self.spark.createDataFrame([(e, i) for i, d in zip(ids, drafts, strict=True) for e in d.entities], TABLES["entity_tags"])
+        tags = [(e, i) for i, d in zip(ids, drafts, strict=True) for e in d.entities]
         edges = self.spark.createDataFrame([(i, k, t) for i, d in zip(ids, drafts, strict=True) for k, t in d.relations], TABLES["relations"])
         old = self.spark.createDataFrame([(i, t) for i, d in zip(ids, drafts, strict=True) for t in d.supersedes], "new string, old string")
         with self._writing():
-            known = self.table("memories")
-            chunks = self._chunks(fresh)
-            near = self._near(fresh, chunks, known) if similar else {}
-            lost = graph.missing_targets(edges, known.unionByName(fresh)).limit(1).collect()
-            if lost:
-                raise ValueError(f"no live memory {lost[0].dst}")
-            both = known.unionByName(fresh)
-            replaced = edges
+            state = self._now()
+            known, chunks = self.table("memories", state), self._chunks(fresh)
+            near = self._near(fresh, chunks, known, self.table("chunks", state)) if similar else {}
+            added = {"memories": fresh, "chunks": chunks, "postings": search.term_rows(fresh).select("id", "term", "tf", "doc_len")}
+            if any(d.relations for d in drafts):
+                lost = graph.missing_targets(edges, known.unionByName(fresh)).limit(1).collect()
+                if lost:
+                    raise ValueError(f"no live memory {lost[0].dst}")
+            if tags:
+                added["entity_tags"] = graph.checked_tags(self.spark.createDataFrame(tags, TABLES["entity_tags"]))
             if any(d.supersedes for d in drafts):
-                both, version = graph.supersede(both, old)
-                replaced = edges.unionByName(version)
-            self._commit(
-                {
-                    "memories": both, "chunks": self.table("chunks").unionByName(chunks),
-                    "entity_tags": self.table("entity_tags").unionByName(graph.checked_tags(tags)).distinct(),
-                    "relations": self.table("relations").unionByName(graph.checked_relations(replaced)).distinct(),
-                }
-            )
+                _, version = graph.supersede(known.unionByName(fresh), old)
+                added["marks"] = version.select(F.col("dst").alias("id"), F.lit(False).alias("tombstone"), F.lit(True).alias("superseded")).distinct()
+                edges = edges.unionByName(version)
+            if any(d.relations or d.supersedes for d in drafts):
+                added["relations"] = graph.checked_relations(edges)
+            self._commit(added, **search.corpus_stats(fresh).first().asDict())
         return [Remembered(i, near.get(i, [])) for i in ids]
 
-    def _near(self, fresh: DataFrame, chunks: DataFrame, known: DataFrame) -> dict[str, list[Row]]:
+    def _near(self, fresh: DataFrame, chunks: DataFrame, known: DataFrame, known_chunks: DataFrame) -> dict[str, list[Row]]:
         numbers = {r.id: n for n, r in enumerate(fresh.select("id").collect())}
         numbered = self.spark.createDataFrame([(n, i) for i, n in numbers.items()], "query_id long, own string")
         drafts = numbered.join(chunks.withColumnRenamed("id", "own"), "own").join(fresh.select(F.col("id").alias("own"), F.col("project").alias("grp")), "own")
-        found = search.near_duplicates(drafts.select("query_id", "vec", "grp"), self.table("chunks").select("id", "vec"), known).orderBy("rank").collect()
+        found = search.near_duplicates(drafts.select("query_id", "vec", "grp"), known_chunks.select("id", "vec"), known).orderBy("rank").collect()
         return {i: [r for r in found if r.query_id == n] for i, n in numbers.items()}
 
     def _query(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(0, text)], "query_id long, text string").withColumn("vec", embed(self.embedder, first_window(F.col("text"))))
 
-    def _shown(self, out: DataFrame) -> list[Row]:
-        shown = self.table("memories").select("id", "content", "project", "agent", "session_id", "created_us", "superseded", "metadata")
+    def _shown(self, out: DataFrame, mem: DataFrame) -> list[Row]:
+        shown = mem.select("id", "content", "project", "agent", "session_id", "created_us", "superseded", "metadata")
         rows = out.join(shown, "id").orderBy("section", "ordinal")
         return rows.select("id", "content", "project", "agent", "session_id", "created_us", "superseded", "metadata", "score", "section", "ordinal").collect()
 
     def recall(self, text: str, limit: int = LIMIT, project: str | None = None, agent: str | None = None, filters: dict[str, fl.Filter] | None = None, expand_related: bool = False, recency: bool = False) -> list[Row]:
         """Hits (id, content, score, section, ordinal) of hybrid search, best first, related memories after them. Ties fall to smaller ids."""
-        mem, keep = self.table("memories"), fl.keep(project, agent, filters)
-        hits = search.hybrid_recall(mem, self.table("chunks").select("id", "vec"), self._query(text), limit, keep, recency)
+        now, keep = self._now(), fl.keep(project, agent, filters)
+        mem = self.table("memories", now)
+        hits = search.hybrid_recall(mem, self.table("chunks", now).select("id", "vec"), self._query(text), limit, keep, recency, self._index(now))
         if expand_related:
-            return self._shown(search.expand_related(hits, mem, self.table("relations"), keep))
-        return self._shown(hits.select("query_id", F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"))
+            return self._shown(search.expand_related(hits, mem, self.table("relations", now), keep), mem)
+        return self._shown(hits.select("query_id", F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"), mem)
 
     def search_text(self, text: str, limit: int = LIMIT, project: str | None = None, agent: str | None = None, filters: dict[str, fl.Filter] | None = None) -> list[Row]:
         """Hits of full-text search alone, with BM25 scores."""
-        query = self.spark.createDataFrame([(0, text)], "query_id long, text string")
-        hits = search.bm25_top_k(self.table("memories"), query, limit, fl.keep(project, agent, filters))
-        return self._shown(hits.select(F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"))
+        now, query = self._now(), self.spark.createDataFrame([(0, text)], "query_id long, text string")
+        mem = self.table("memories", now)
+        hits = search.bm25_top_k(mem, query, limit, fl.keep(project, agent, filters), self._index(now))
+        return self._shown(hits.select(F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"), mem)
 
     def recall_vector(self, text: str, limit: int = LIMIT, project: str | None = None, agent: str | None = None, filters: dict[str, fl.Filter] | None = None) -> list[Row]:
         """Hits of vector search alone, with fused scores."""
-        kept = self.table("memories").where(fl.keep(project, agent, filters)).select("id")
-        hits = search.vector_recall(self.table("chunks").select("id", "vec").join(kept, "id", "left_semi"), self._query(text), limit)
-        return self._shown(hits.select(F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"))
+        now = self._now()
+        mem = self.table("memories", now)
+        kept = mem.where(fl.keep(project, agent, filters)).select("id")
+        hits = search.vector_recall(self.table("chunks", now).select("id", "vec").join(kept, "id", "left_semi"), self._query(text), limit)
+        return self._shown(hits.select(F.lit("hit").alias("section"), F.col("rank").alias("ordinal"), "id", "score"), mem)
 
     def get(self, id: str) -> Row | None:
         return graph.live(self.table("memories")).where(F.col("id") == id).first()
@@ -222,7 +262,7 @@ class Store:
         if self.get(id) is None:
             return False
         with self._writing():
-            self._commit({"memories": self.table("memories").withColumn("tombstone", F.col("tombstone") | (F.col("id") == id))})
+            self._commit({"marks": self.spark.createDataFrame([(id, True, False)], TABLES["marks"])})
         return True
 
     def related(self, id: str) -> list[Row]:
@@ -259,10 +299,12 @@ class Store:
         return out
 
     def vacuum(self) -> None:
-        """Drop what was forgotten, and edges and tags of it."""
+        """Drop what was forgotten, and edges and tags of it; what is left lies in one folder a table."""
         with self._writing():
-            mem, edges, tags = graph.vacuum(self.table("memories"), self.table("relations"), self.table("entity_tags"))
-            self._commit({"memories": mem, "relations": edges, "entity_tags": tags, "chunks": self.table("chunks").join(mem.select("id"), "id", "left_semi")})
+            now = self._now()
+            mem, edges, tags = graph.vacuum(self.table("memories", now), self.table("relations", now), self.table("entity_tags", now))
+            left = {t: self.table(t, now).join(mem.select("id"), "id", "left_semi").select(*[c.split()[0] for c in TABLES[t].split(", ")]) for t in ("chunks", "postings")}
+            self._commit({"memories": mem, "relations": edges, "entity_tags": tags, **left}, **search.corpus_stats(mem).first().asDict(), whole=True)
 
 
 def checked_id(id: Any) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone import cli
 from quillstone.functions.embed import HashingEmbedder, PrecomputedEmbedder
 from quillstone.operators import filters as fl
+from quillstone.operators import search
 from quillstone.plans.tools import Tools
 from quillstone.sources import oplog, project, synthetic
 from quillstone.sources.store import Draft, Store, WriteLocked, check_ids, new_id
@@ -92,6 +93,56 @@ def test_each_half_alone(spark, tmp_path):
     assert [r.id for r in store.recall("bread", project="t", limit=3)] == sorted(r.id for r in ties)[:3]
 
 
+def test_stored_postings(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), topics(), create=True)
+    a, b, c, d = store.remember(Draft("Soup soup salt", "p"), Draft("soup and bread", "p"), Draft("oven", "q"), Draft("", "q"))
+    store.remember(Draft("salt on bread " + "x" * 200, "p"))
+    asked = spark.createDataFrame([(0, "soup salt"), (1, "bread oven oven"), (2, "nothing")], "query_id long, text string")
+
+    def same() -> list:
+        mem, now = store.table("memories"), store._now()
+        stored = [sorted(map(tuple, x.select("id", "term", "tf", "doc_len").collect())) for x in (store.table("postings"), search.term_rows(mem))]
+        assert stored[0] == stored[1] and search.corpus_stats(mem).first().asDict() == {k: now[k] for k in ("n_docs", "total_tokens")}
+        for keep in (fl.keep(), fl.keep("p")):
+            by_index, by_text = (sorted(map(tuple, search.bm25_top_k(mem, asked, 3, keep, x).collect())) for x in (store._index(now), None))
+            assert by_index == by_text and by_text
+        return by_text
+
+    first = same()
+    assert store.forget(b.id)
+    marked = same()
+    store.vacuum()
+    assert first != marked != same()  # statistics hold the forgotten until they are vacuumed
+    assert store.get(d.id).content == ""
+
+
+def test_postings_of_many_terms(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), topics(), create=True)
+    a, b = store.remember(Draft("soup salt"), Draft("bread"))
+    few = store.search_text("soup salt oven")
+    monkeypatch.setattr(search, "TERMS_PUSHED", 1)
+    assert store.search_text("soup salt oven") == few and [r.id for r in few] == [a.id]
+
+
+def test_writes_append(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), topics(), create=True)
+    a = store.remember(Draft("soup", entities=["pot"]))[0]
+    before = store._now()["tables"]
+    store.forget(a.id)
+    now = store._now()["tables"]
+    assert {t for t in now if now[t] != before[t]} == {"marks"}
+    b = store.remember(Draft("bread"))[0]
+    later = store._now()["tables"]
+    assert {t: f[:-1] for t, f in later.items() if f != now[t]} == {t: now[t] for t in ("memories", "chunks", "postings")}
+    monkeypatch.setattr("quillstone.sources.store.FOLDERS", 3)
+    monkeypatch.setattr("quillstone.sources.store.FOLDED", 2)
+    more = [store.remember(Draft(f"salt {i}"))[0].id for i in range(4)]
+    assert max(map(len, store._now()["tables"].values())) <= 3 and store.version == 8 - 1
+    assert [r.id for r in store.timeline().collect()] == [b.id, *more] and len(store.search_text("salt")) == 4
+    store.vacuum()
+    assert max(map(len, store._now()["tables"].values())) == 1 and store.table("memories").count() == 5
+
+
 def test_lock_of_an_ended_writer(spark, tmp_path):
     import socket
     import subprocess
