@@ -25,8 +25,10 @@ SHINGLE, NUM, DEN, BANDS, ROWS = 7, 80, 100, 12, 4
 CHUNK = 1 << 20
 
 
-def line_hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"), seed=7) - (1 << 63)
+def line_hash(line: str) -> tuple[int, int]:
+    """(node, check): 64 bits that lines are linked by, and 32 more that tell equal lines from others of the same node."""
+    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"), seed=7)
+    return (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (h >> 96) - (1 << 31)
 
 
 def shingle_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -77,20 +79,20 @@ def _doc_key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_key, line_no and node (hash) of every line with a word; keys where the task meets the line for the first time."""
+    """doc_id, doc_key, line_no, node and check (hashes) of every line with a word; keys where the task meets the node for the first time."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
 
-        def rows(of: list[tuple], nodes: list[int], places: list[int], new: list[str | None]) -> pa.RecordBatch:
+        def rows(of: list[tuple], nodes: list[tuple[int, int]], places: list[int], new: list[str | None]) -> pa.RecordBatch:
             fresh = [x for x in new if x is not None]
             flat = min_hash_keys(fresh).reshape(-1) if fresh else np.zeros(0, np.int64)
             has = np.array([x is not None for x in new])
             ends = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~has, False)), pa.array(flat))
             return pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in of], pa.int64()), pa.array([k for _, k in of], pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.int64()), keys],
-                names=["doc_id", "doc_key", "line_no", "node", "keys"],
+                [pa.array([d for d, _ in of], pa.int64()), pa.array([k for _, k in of], pa.int64()), pa.array(places, pa.int32()), *_hashes(nodes), keys],
+                names=["doc_id", "doc_key", "line_no", "node", "check", "keys"],
             )
 
         for batch in slices(batches):
@@ -99,14 +101,14 @@ def _lines(docs: DataFrame) -> DataFrame:
                 for at, line in enumerate((text or "").split("\n")):
                     if not line or line.isspace() and not line.strip(" \t\x0b\x0c\r"):
                         continue
-                    node = line_hash(line)
+                    hashes = line_hash(line)
                     of.append((doc_id, key))
-                    nodes.append(node)
+                    nodes.append(hashes)
                     places.append(at)
-                    if node in met:
+                    if hashes[0] in met:
                         new.append(None)
                         continue
-                    met.add(node)
+                    met.add(hashes[0])
                     new.append(line)
                     chars += len(line)
                     if chars > CHUNK:
@@ -115,26 +117,32 @@ def _lines(docs: DataFrame) -> DataFrame:
             if nodes:
                 yield rows(of, nodes, places, new)
 
-    return docs.select("doc_id", _doc_key().alias("doc_key"), "text").mapInArrow(make, "doc_id long, doc_key long, line_no int, node long, keys array<long>")
+    return docs.select("doc_id", _doc_key().alias("doc_key"), "text").mapInArrow(make, "doc_id long, doc_key long, line_no int, node long, check int, keys array<long>")
+
+
+def _hashes(nodes: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([n for n, _ in nodes], pa.int64()), pa.array([c for _, c in nodes], pa.int32())]
 
 
 def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and line of the lines wanted (node)."""
+    """node, check and line of the lines wanted (node); where different lines share a node, one of them."""
     sent = docs.sparkSession.sparkContext.broadcast(row_filter(nodes, F.col("node")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in slices(batches):
-            found: dict[int, str] = {}
+            found: dict[int, tuple[int, str]] = {}
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
-                    found[line_hash(line)] = line
+                    node, check = line_hash(line)
+                    found[node] = check, line
             ids = np.fromiter(found, dtype=np.int64, count=len(found))
             chosen = [x for x in ids[passes(sent.value, ids)].tolist() if x not in met]
             met.update(chosen)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(chosen, pa.int64()), "line": pa.array([found[x] for x in chosen], pa.string())})
+            node, check = _hashes([(x, found[x][0]) for x in chosen])
+            yield pa.RecordBatch.from_pydict({"node": node, "check": check, "line": pa.array([found[x][1] for x in chosen], pa.string())})
 
-    rows = docs.select("text").mapInArrow(make, "node long, line string")
+    rows = docs.select("text").mapInArrow(make, "node long, check int, line string")
     return cut(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
@@ -149,9 +157,7 @@ def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"node": batch.column(0), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
 
-def _store(docs: DataFrame, nodes: DataFrame) -> Store:
-    lines = _wanted(docs, nodes)
-
+def _store(lines: DataFrame) -> Store:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, set()
         for b in batches:
@@ -172,14 +178,22 @@ def _store(docs: DataFrame, nodes: DataFrame) -> Store:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, doc_key, line_no, node, root of every line whose component holds more than one line, and whether it stays (`first`)."""
-    lines = cut(_lines(docs))
+    lines, texts = cut(_lines(docs)), []
+
+    def prepare(nodes: DataFrame) -> Store:
+        texts.append(_wanted(docs, nodes))
+        return _store(texts[0])
+
     keys = lines.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    roots = connect(keys, lambda nodes: _store(docs, nodes), NUM, DEN, central=False, once=True)
-    placed = lines.select("doc_id", "doc_key", "line_no", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "line_no")
-    placed = placed.withColumn("place", place)
-    first = placed.groupBy("root").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return placed.join(first, "root").select("doc_id", "doc_key", "line_no", "node", "root", (F.col("place") == F.col("best")).alias("first"))
+    roots = connect(keys, prepare, NUM, DEN, central=False, once=True)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = roots.join(texts[0].select("node", "check"), "node")  # the lines that were verified; others of the same node are not linked
+    placed = lines.select("doc_id", "doc_key", "line_no", "node", "check").join(roots, ["node", "check"], "left")
+    group = F.when(F.col("root").isNull(), F.col("check").cast("long")).otherwise(F.lit(1 << 32))  # unlinked lines are grouped by both hashes
+    placed = placed.withColumn("own", group).withColumn("root", F.coalesce("root", "node")).drop("check")
+    placed = placed.withColumn("place", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "line_no"))
+    first = placed.groupBy("root", "own").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return placed.join(first, ["root", "own"]).select("doc_id", "doc_key", "line_no", "node", "root", (F.col("place") == F.col("best")).alias("first"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -189,8 +203,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     word always stay. A null or empty text has no lines and is returned as it is; rows of equal id and text are one document and come out alike; an
     empty table gives none; all other columns are passed through, but for one named n_dropped.
     """
-    drops = repeated_lines(docs).where("not first").groupBy("doc_key").agg(F.collect_set("line_no").alias("drop_at"))
-    joined = docs.select(_doc_key().alias("doc_key"), whole_row(docs)).join(drops, "doc_key", "left")
+    drops = repeated_lines(docs).where("not first").groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("drop_at"))
+    drops = drops.select(F.col("doc_id").alias("of"), "doc_key", "drop_at")
+    keyed = docs.select("doc_id", _doc_key().alias("doc_key"), whole_row(docs)).alias("docs")
+    joined = keyed.join(drops.alias("drops"), (F.col("docs.doc_key") == F.col("drops.doc_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
     text = F.col("row.text")
     kept = F.when(F.col("drop_at").isNull(), text).otherwise(
         F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("drop_at", i)), "\n")

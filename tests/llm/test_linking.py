@@ -178,6 +178,19 @@ def test_lines(spark):
     assert [r.text for r in twice] == ["a line of text"] * 2
 
 
+def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
+    texts = [f"line number {i} of some text that is all its own {i * 7919}" for i in range(8)]
+    rows = [(i, "\n".join([t, t])) for i, t in enumerate(texts)]
+    whole = line_dedup.line_hash
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: (5, whole(line)[1]))  # every line the same node
+    made = [line_dedup.line_hash(t) for t in texts]
+    lines = spark.createDataFrame([(i, i, n, *made[i]) for i in range(8) for n in range(2)], "doc_id long, doc_key long, line_no int, node long, check int")
+    lines = lines.withColumn("keys", F.when((F.col("doc_id") == 0) & (F.col("line_no") == 0), F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(line_dedup, "_lines", lambda docs: lines)
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.line_no, r.first) for r in got) == [(i, n, n == 0) for i in range(8) for n in range(2)]
+
+
 def test_lines_are_counted(spark, tmp_path):
     texts = ["a line of text\n \nanother", "a line of text\n\n\u00a0\n\x1c", "\t\r\x0b\x0c", "", None, "a line of text"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
