@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, per_task
 
 #: Bits of the filter that tells which rows a second pass over the texts has to prepare; it goes to every executor.
 FILTER_BITS = 1 << 23
+#: Bits of it that are put together in one row.
+WORD_BITS = 1 << 15
 #: Least and most bits of a parity sketch; nodes of a key that are compared at once.
 CELLS, MOST_CELLS, BLOCK = 256, 8192, 1024
 
@@ -177,11 +179,35 @@ def may_link(bits: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray,
 
 
 def row_filter(rows: DataFrame, hashes: Column) -> np.ndarray:
-    """Bits of a column of 64-bit hashes, packed: a filter of fixed size without false negatives."""
-    at = rows.select(F.pmod(hashes, F.lit(FILTER_BITS)).alias("at")).distinct().toArrow()["at"].to_numpy()
+    """Bits of a column of 64-bit hashes, packed: a filter of fixed size without false negatives. Made on the executors, so that the driver gets bits, not rows."""
+    schema = "word int, bits binary"
+    marked = rows.select(F.pmod(hashes, F.lit(FILTER_BITS)).alias("at")).mapInArrow(_marked, schema)
+    words = marked.repartition(per_task(rows.sparkSession), "word").mapInArrow(_merged, schema)
+    packed = np.zeros((FILTER_BITS // WORD_BITS, WORD_BITS // 8), dtype=np.uint8)
+    for r in words.collect():
+        packed[r.word] = np.frombuffer(r.bits, dtype=np.uint8)
+    return packed.reshape(-1)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(FILTER_BITS, dtype=bool)
-    bits[at] = True
-    return np.packbits(bits)
+    for batch in batches:
+        bits[batch.column(0).to_numpy()] = True
+    packed = np.packbits(bits).reshape(-1, WORD_BITS // 8)
+    yield _words({i: packed[i] for i in np.flatnonzero(packed.any(axis=1)).tolist()})
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for word, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            new = np.frombuffer(bits, dtype=np.uint8)
+            found[word] = found[word] | new if word in found else new
+    yield _words(found)
+
+
+def _words(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"word": pa.array(found, pa.int32()), "bits": pa.array([x.tobytes() for x in found.values()], pa.binary())})
 
 
 def passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -121,6 +121,20 @@ def test_row_filter_has_no_false_negatives(spark):
     assert not linkage.passes(linkage.row_filter(ids.limit(0), F.col("h")), np.arange(10)).any()
 
 
+def test_row_filter_sends_bits_to_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h")).repartition(7)
+    want = np.zeros(linkage.FILTER_BITS, dtype=bool)
+    want[np.mod([r.h for r in rows.collect()], linkage.FILTER_BITS)] = True
+    sent = []
+    for name in ("collect", "toArrow", "toPandas"):
+        whole = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda df, f=whole: sent.append(len(got := f(df))) or got)
+    assert (linkage.row_filter(rows, F.col("h")) == np.packbits(want)).all()
+    assert sum(sent) <= linkage.FILTER_BITS // linkage.WORD_BITS
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 50, 3000):
