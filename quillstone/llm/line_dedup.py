@@ -21,8 +21,8 @@ from .shingles import mixed
 
 #: Characters a shingle, least similarity as num/den, bands and MinHash values a band: at a similarity of 0.8 a pair meets with a chance of 0.998, at 0.85 of 0.9999.
 SHINGLE, NUM, DEN, BANDS, ROWS = 7, 80, 100, 12, 4
-#: Characters worked on at once.
-CHUNK = 1 << 20
+#: Characters of lines given on at once; of those, how many are hashed at once, so that they stay in a core's cache.
+CHUNK, CACHED = 1 << 20, 1 << 17
 
 
 def line_hash(line: str) -> tuple[int, int]:
@@ -31,14 +31,36 @@ def line_hash(line: str) -> tuple[int, int]:
     return (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (h >> 96) - (1 << 31)
 
 
+def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and checks of lines, as line_hash gives them."""
+    digests = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"), seed=7) for x in lines])
+    h = np.frombuffer(digests, dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    return (h[:, 1] ^ np.uint64(1 << 63)).view(np.int64), ((h[:, 0] >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32)
+
+
+def _windows(code: np.ndarray, width: int) -> np.ndarray:
+    """The polynomial of each window of `width` numbers, put together from windows of 1, 2, 4 and so on."""
+    whole, done, part, size = None, 0, code, 1
+    while True:
+        if width & size:
+            n = len(code) - done - size + 1
+            whole, done = part if whole is None else part[:n] * _power(done) + whole[size : size + n], done + size
+        if 2 * size > width:
+            return whole
+        n = len(code) - 2 * size + 1
+        part, size = part[:n] * _power(size) + part[size : size + n], 2 * size
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64))
+
+
 def shingle_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all shingles, line after line; how many each line has). A line shorter than a shingle is one shingle."""
     padded = [x.ljust(shingle, "\0") for x in lines]
     lengths = np.array([len(x) for x in padded], dtype=np.int64)
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    h = np.zeros(len(code) - shingle + 1, dtype=np.uint64)
-    for i in range(shingle):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : len(h) + i]
+    h = _windows(code, shingle)
     ends, inside = np.cumsum(lengths), np.ones(len(code), dtype=bool)
     for i in range(1, shingle):
         inside[ends - i] = False
@@ -47,18 +69,22 @@ def shingle_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray
 
 def min_hash_keys(lines: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Band keys of each line, (lines, bands)."""
-    hashes, counts = shingle_hashes(lines, shingle)
-    small, starts = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
     rng = np.random.default_rng(2024)
     factors, masks = rng.integers(1 << 20, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-    out, turned = np.zeros((len(lines), bands), dtype=np.uint64), np.empty_like(small)
-    for b in range(bands):
-        key = np.full(len(lines), b + 1, dtype=np.uint64)
-        for r in range(rows):
-            np.bitwise_xor(small, masks[b * rows + r], out=turned)
-            np.multiply(turned, factors[b * rows + r], out=turned)
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(turned, starts))
-        out[:, b] = key
+    out, ends, at = np.zeros((len(lines), bands), dtype=np.uint64), np.cumsum([len(x) for x in lines]), 0
+    while at < len(lines):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CACHED, side="right")))
+        hashes, counts = shingle_hashes(lines[at:end], shingle)
+        small, starts = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
+        turned = np.empty_like(small)
+        for b in range(bands):
+            key = np.full(end - at, b + 1, dtype=np.uint64)
+            for r in range(rows):
+                np.bitwise_xor(small, masks[b * rows + r], out=turned)
+                np.multiply(turned, factors[b * rows + r], out=turned)
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(turned, starts))
+            out[at:end, b] = key
+        at = end
     return out.view(np.int64)
 
 
@@ -73,6 +99,28 @@ def similar(a: str | set[str], b: str, num: int = NUM, den: int = DEN) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def surely_similar(a: str, size: int, b: str, num: int = NUM, den: int = DEN, shingle: int = SHINGLE) -> bool:
+    """Whether two lines' common start and end alone give them the similarity; size: that of a's shingle set. No shingle inside these
+    is other than shared, and every other one takes at least one of the places between."""
+    start = _common(a, b)
+    end = _common(a[start:][::-1], b[start:][::-1])
+    inside = max(0, start - shingle + 1) + max(0, end - shingle + 1)
+    more_a, more_b = (max(1, len(x) - shingle + 1) - inside for x in (a, b))
+    return den * (size - more_a) >= num * (size + more_b)
+
+
 def _doc_key() -> Column:
     """Stands for a row: rows of equal id and text are one document."""
     return F.xxhash64("doc_id", "text")
@@ -84,46 +132,42 @@ def _lines(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
 
-        def rows(of: list[tuple], nodes: list[tuple[int, int]], places: list[int], new: list[str | None]) -> pa.RecordBatch:
-            fresh = [x for x in new if x is not None]
+        def rows(of: list[tuple], counts: list[int], places: list[int], found: list[str]) -> pa.RecordBatch:
+            nodes, checks = line_hashes(found)
+            fresh, new = [], np.zeros(len(found), dtype=bool)
+            for i, node in enumerate(nodes.tolist()):
+                if node not in met:
+                    met.add(node)
+                    fresh.append(found[i])
+                    new[i] = True
             flat = min_hash_keys(fresh).reshape(-1) if fresh else np.zeros(0, np.int64)
-            has = np.array([x is not None for x in new])
-            ends = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~has, False)), pa.array(flat))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in of], pa.int64()), pa.array([k for _, k in of], pa.int64()), pa.array(places, pa.int32()), *_hashes(nodes), keys],
-                names=["doc_id", "doc_key", "line_no", "node", "check", "keys"],
-            )
+            ends = np.concatenate([[0], np.cumsum(new * BANDS)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~new, False)), pa.array(flat))
+            each = pa.array(np.repeat(np.arange(len(of)), counts))
+            ids, doc_keys = (pa.array([x[i] for x in of], pa.int64()).take(each) for i in range(2))
+            return pa.RecordBatch.from_arrays([ids, doc_keys, pa.array(places, pa.int32()), pa.array(nodes), pa.array(checks), keys], names=["doc_id", "doc_key", "line_no", "node", "check", "keys"])
 
         for batch in slices(batches):
-            of, nodes, places, new, chars = [], [], [], [], 0
+            of, counts, places, found, chars = [], [], [], [], 0
             for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                of.append((doc_id, key))
+                counts.append(0)
                 for at, line in enumerate((text or "").split("\n")):
                     if not line or line.isspace() and not line.strip(" \t\x0b\x0c\r"):
                         continue
-                    hashes = line_hash(line)
-                    of.append((doc_id, key))
-                    nodes.append(hashes)
+                    counts[-1] += 1
                     places.append(at)
-                    if hashes[0] in met:
-                        new.append(None)
-                        continue
-                    met.add(hashes[0])
-                    new.append(line)
+                    found.append(line)
                     chars += len(line)
                     if chars > CHUNK:
-                        yield rows(of, nodes, places, new)
-                        of, nodes, places, new, chars = [], [], [], [], 0
-            if nodes:
-                yield rows(of, nodes, places, new)
+                        yield rows(of, counts, places, found)
+                        of, counts, places, found, chars = [(doc_id, key)], [0], [], [], 0
+            if found:
+                yield rows(of, counts, places, found)
 
     return docs.select("doc_id", _doc_key().alias("doc_key"), "text").mapInArrow(make, "doc_id long, doc_key long, line_no int, node long, check int, keys array<long>")
 
 
-def _hashes(nodes: list[tuple[int, int]]) -> list[pa.Array]:
-    return [pa.array([n for n, _ in nodes], pa.int64()), pa.array([c for _, c in nodes], pa.int32())]
-
-
 def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, check and line of the lines wanted (node); where different lines share a node, one of them."""
     sent = docs.sparkSession.sparkContext.broadcast(row_filter(nodes, F.col("node")))
@@ -131,16 +175,14 @@ def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in slices(batches):
-            found: dict[int, tuple[int, str]] = {}
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    node, check = line_hash(line)
-                    found[node] = check, line
-            ids = np.fromiter(found, dtype=np.int64, count=len(found))
-            chosen = [x for x in ids[passes(sent.value, ids)].tolist() if x not in met]
-            met.update(chosen)
-            node, check = _hashes([(x, found[x][0]) for x in chosen])
-            yield pa.RecordBatch.from_pydict({"node": node, "check": check, "line": pa.array([found[x][1] for x in chosen], pa.string())})
+            lines = [line for text in batch.column(0).to_pylist() for line in (text or "").split("\n")]
+            nodes, checks = line_hashes(lines)
+            chosen = []
+            for i in np.flatnonzero(passes(sent.value, nodes)).tolist():
+                if (node := int(nodes[i])) not in met:
+                    met.add(node)
+                    chosen.append(i)
+            yield pa.RecordBatch.from_pydict({"node": nodes[chosen], "check": checks[chosen], "line": pa.array([lines[i] for i in chosen], pa.string())})
 
     rows = docs.select("text").mapInArrow(make, "node long, check int, line string")
     return cut(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
@@ -165,7 +207,7 @@ def _store(lines: DataFrame) -> Store:
             for x, y in zip(b["xa"].to_pylist(), b["xb"].to_pylist(), strict=True):
                 if x != last:  # rows of one hub come together
                     last, known = x, shingles_of(x)
-                ok.append(similar(known, y))
+                ok.append(surely_similar(x, len(known), y) or similar(known, y))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:

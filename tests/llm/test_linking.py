@@ -135,6 +135,28 @@ def test_row_filter_sends_bits_to_the_driver(spark, monkeypatch):
     assert sum(sent) <= linkage.FILTER_BITS // linkage.WORD_BITS
 
 
+def test_line_shortcuts_agree_with_the_plain_forms():
+    rng = random.Random(13)
+    lines = ["", "a", "short", "exactly", "eightchr", "a" * 40, "ab\ud800c" * 3] + ["".join(rng.choices("abc ", k=rng.randrange(1, 120))) for _ in range(300)]
+    nodes, checks = line_dedup.line_hashes(lines)
+    assert list(zip(nodes.tolist(), checks.tolist(), strict=True)) == [line_dedup.line_hash(x) for x in lines]
+    step, sure = np.uint64(0x9E3779B97F4A7C15), 0
+    code = np.array([rng.randrange(0x110000) for _ in range(50)], dtype=np.uint64)
+    for width in range(1, 12):
+        h = np.zeros(51 - width, dtype=np.uint64)
+        for i in range(width):
+            h = h * step + code[i : len(h) + i]
+        assert (line_dedup._windows(code, width) == h).all()
+    for a in lines:
+        at = rng.randrange(len(a) + 1)
+        for b in (a, a[:at] + rng.choice(["", "x", "xyz"]) + a[at + rng.randrange(4) :], rng.choice(lines)):
+            if line_dedup.surely_similar(a, len(line_dedup.shingles_of(a)), b):
+                sure += 1
+                assert line_dedup.similar(a, b), (a, b)
+    assert sure > 300
+    assert (np.concatenate([line_dedup.min_hash_keys([x]) for x in lines]) == line_dedup.min_hash_keys(lines)).all()
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 50, 3000):
