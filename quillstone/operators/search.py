@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,6 +120,8 @@ def similarities(chunks: DataFrame, queries: DataFrame, k: int | None = None, le
     total = queries.count()
     blocks = max(1, -(-total // QUERIES_AT_ONCE) * 2 if total > QUERIES_AT_ONCE else 1)
     dealt = queries.select(*cols, F.pmod(F.xxhash64(*cols[:2]), F.lit(blocks)).alias("block"))
+    if blocks > 1:  # each block reads both anew
+        dealt, chunks = cut(dealt), cut(chunks.select("id", "vec", *(["grp"] if groups else [])))
     out = None
     for b in range(blocks):
         got = dealt.where(F.col("block") == b).toArrow().to_pylist()
@@ -136,12 +138,13 @@ def similarities(chunks: DataFrame, queries: DataFrame, k: int | None = None, le
 def _compare(sent, k, least, groups, not_self):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors, wanted = sent.value
+        floor = np.full((len(query_ids), 1), -np.inf)
         for batch in (x.slice(at, ROWS_AT_ONCE) for x in batches for at in range(0, x.num_rows, ROWS_AT_ONCE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")  # chunks of one record beside each other
             ids = ids[order]
             sims = vectors @ _unit(batch.column(1).to_pylist())[order].T
-            ok = np.ones(sims.shape, dtype=bool)
+            ok = np.ones(sims.shape if groups or not_self or least is not None else (1, 1), dtype=bool)
             if groups:
                 has = batch.column(2).to_pylist()
                 codes = {g: i for i, g in enumerate({*has, *wanted})}
@@ -152,9 +155,11 @@ def _compare(sent, k, least, groups, not_self):
                 ok &= sims >= least - 1e-9
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             records = ids[first]
-            best = np.round(np.maximum.reduceat(np.where(ok, sims, -np.inf), first, axis=1), DIGITS)
-            if k is not None and len(records) > k:  # of each query the k best, and ties with the last of them
-                best[best < np.partition(best, len(records) - k, axis=1)[:, [len(records) - k]]] = -np.inf
+            best = np.round(np.maximum.reduceat(sims if ok.size == 1 else np.where(ok, sims, -np.inf), first, axis=1), DIGITS)
+            if k is not None:  # of each query the k best of any batch so far, and ties with the last of them
+                if len(records) >= k:
+                    floor = np.maximum(floor, np.partition(best, len(records) - k, axis=1)[:, [len(records) - k]])
+                best[best < floor] = -np.inf
             q, r = np.nonzero(np.isfinite(best))
             yield pa.RecordBatch.from_pydict({"query_id": query_ids[q], "id": pa.array(records[r], batch.schema.field(0).type), "score": best[q, r]})
 
@@ -186,15 +191,23 @@ def recency_list(lists: list[DataFrame], memories: DataFrame) -> DataFrame:
 
 
 def lift(memories: DataFrame, chunks: DataFrame, cases: DataFrame, k: int, keep: Column) -> DataFrame:
-    """One row: of cases (query_id, the id that should be found; text; vec) how many hybrid search and vector search alone find among k, and the difference of their shares."""
+    """One row: of cases (query_id, the id that should be found; text; vec) how many hybrid search and vector search alone find among k, and the difference of their shares.
+    Each distinct text and each distinct vector is searched for once, and all cases that have it get its hits."""
     cases, kept = cut(cases), chunks.join(memories.where(keep).select("id"), "id", "left_semi")
+    vectors, texts = _of_each(cases, "vec", lambda asked: vector_top_k(kept, asked, k)), _of_each(cases, "text", lambda asked: bm25_top_k(memories, asked, k, keep))
     found = lambda hits: hits.where("id = query_id").select("query_id").distinct()
-    both = found(hybrid_recall(memories, chunks, cases, k, keep)).withColumn("h", F.lit(1))
-    alone = found(vector_top_k(kept, cases, k)).withColumn("v", F.lit(1))
+    both, alone = found(fuse([vectors, texts], k)).withColumn("h", F.lit(1)), found(vectors).withColumn("v", F.lit(1))
     counts = cases.select("query_id").join(both, "query_id", "left").join(alone, "query_id", "left").agg(F.count("*").alias("asked"), F.count("h").alias("hybrid_found"), F.count("v").alias("vector_found"))
     return counts.withColumn("lift", F.round((F.col("hybrid_found") - F.col("vector_found")) / F.col("asked"), 6))
 
 
+def _of_each(cases: DataFrame, asked: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """query_id, id, rank of a search whose hits depend on the column alone, run for one case of each of its values."""
+    first = cut(cases.groupBy(asked).agg(F.min("query_id").alias("query_id")))
+    hits = cut(search(first).select(F.col("query_id").alias("first"), "id", "rank"))
+    return cases.join(first.withColumnRenamed("query_id", "first"), asked).join(hits, "first").select("query_id", "id", "rank")
+
+
 def rarest_terms(memories: DataFrame) -> DataFrame:
     """query_id, text: the term of each document that fewest documents hold, the first of equals."""
     rows = term_rows(memories).select("id", "term")

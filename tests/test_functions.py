@@ -120,3 +120,40 @@ def test_vector_search_matches_brute_force(spark):
         best = np.round((u @ u[i]).reshape(100, 2).max(axis=1), 6)
         want = sorted(range(100), key=lambda r: (-best[r], r))[:3]
         assert [r.id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == want
+
+
+def test_later_batches_hand_on_only_what_can_count(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "ROWS_AT_ONCE", 16)
+    rng = np.random.default_rng(8)
+    ids, vecs, asked = np.repeat(np.arange(60), 5), np.round(rng.normal(size=(300, 4)), 1), search._unit(np.round(rng.normal(size=(7, 4)), 1).tolist())
+    order = rng.permutation(300)  # chunks of a record lie in many batches
+    batch = pa.RecordBatch.from_pydict({"id": ids[order], "vec": pa.array(vecs[order].tolist())})
+    got = list(search._compare(SimpleNamespace(value=(np.arange(7), asked, [None] * 7)), 3, None, False, False)(iter([batch])))
+    found = {}
+    for b in got:
+        for q, i, s in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            found.setdefault(q, {})[i] = max(s, found.get(q, {}).get(i, -2.0))
+    scores = np.round(np.maximum.reduceat(asked @ search._unit(vecs.tolist()).T, np.arange(0, 300, 5), axis=1), 6)
+    for q in range(7):
+        best = lambda pairs: sorted(pairs, key=lambda x: (-x[1], x[0]))[:3]
+        assert best(found[q].items()) == best(enumerate(scores[q].tolist()))
+    assert sum(b.num_rows for b in got) < 7 * 3 * 19 / 2  # all 19 batches gave 3 a query before
+
+
+def test_lift_asks_once_for_each_text_and_vector(spark, monkeypatch):
+    keep, words = F.lit(True), ["red", "red", "blue", "blue green"]
+    mem = spark.createDataFrame(list(enumerate(words)), "id long, content string")
+    chunks = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id long, vec array<double>")
+    cases = spark.createDataFrame([(i, w.split()[-1], [1.0, float(i % 2)]) for i, w in enumerate(words)], "query_id long, text string, vec array<double>")
+    hits = lambda df: df.where("id = query_id").count()
+    want = (4, hits(search.hybrid_recall(mem, chunks, cases, 1, keep)), hits(search.vector_top_k(chunks, cases, 1)))
+    asked = []
+    for name in ("vector_top_k", "bm25_top_k"):
+        monkeypatch.setattr(search, name, lambda rows, queries, *a, f=getattr(search, name): asked.append(queries.count()) or f(rows, queries, *a))
+    got = search.lift(mem, chunks, cases, 1, keep).first()
+    assert (got.asked, got.hybrid_found, got.vector_found) == want and asked == [2, 3]
