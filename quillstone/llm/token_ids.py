@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +22,24 @@ from pyspark.sql import Window as W
 from . import simple8b
 from .common import documents, shared_dir
 
-#: Ids a segment holds at least, unless the partition ends; words that a worker remembers; characters whose new words are looked up at once.
-SEGMENT, REMEMBERED, AT_ONCE = 1 << 20, 400_000, 1 << 19
+#: Ids a segment holds at least, unless the partition ends; words that a worker remembers; characters whose words are looked up at once.
+SEGMENT, REMEMBERED, AT_ONCE = 1 << 20, 400_000, 1 << 22
 SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<long>, words binary, offsets array<int>, escapes array<long>"
 
 #: ASCII signs that may be parted from a letter or digit before them: no token holds both, and none is an apostrophe. The letter has to stay one
 #: under the tokenizer's normalizer: where that adds a combining mark, the mark goes with the sign.
 SIGNS = ".,;:!?*$%&#|<>\"()[]{}-_=+/\\@^~`"
+#: Bytes of a text with line ends as spaces, and with A-Z in lower case besides; the lead byte of the first combining mark (U+0300), before which no letter changes with its case.
+SPACED = bytes.maketrans(b"\n", b" ")
+FOLDED = bytes.maketrans(b"\nABCDEFGHIJKLMNOPQRSTUVWXYZ", b" abcdefghijklmnopqrstuvwxyz")
+MARKS = 0xCC
 
 
 class WordEncoder:
     """A tokenizer that lets no token cross white space, or a change from letters to signs, with the words it has met.
 
-    `known` has the ids of whole words, `parts` those of words without the signs at their end (ASCII in lower case), as little-endian 32-bit.
-    When either is full it becomes the older generation, from which words still in use are taken over.
+    `known` has the ids (little-endian 32-bit) of whole words and of their parts before and after signs, by UTF-8 bytes. When it is full it becomes
+    the older generation, from which words still in use are taken over.
     """
 
     def __init__(self, path: str):
@@ -47,10 +52,15 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
         self.cuttable: dict[str, bool] = {}
+        self.is_sign, self.is_letter = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+        self.is_sign[list(SIGNS.encode())] = True
+        self.is_letter[[c for c in range(128) if self.may_end(chr(c))]] = True
+        # whether words of a-z go to the model as they are
+        letters, plan, parts = "abcdefghijklmnopqrstuvwxyz", self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare = (plan.normalize_str(letters) if plan else letters) == letters and parts is not None and parts.pre_tokenize_str(letters) == [(letters, (0, 26))]
 
     def may_end(self, letter: str) -> bool:
         """Whether signs may be parted from this character."""
@@ -64,53 +74,81 @@ class WordEncoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts without the spaces, signs after an ASCII letter or digit at a word's end as a word of their own; and how many words precede the end of each text."""
+        raw = [t.encode() for t in texts]
+        joined = b" ".join([b"", *raw, b""])
+        apart = b"<|" not in joined  # no special token, which is met as it is written
+        joined = joined.translate(FOLDED if apart and np.frombuffer(joined, np.uint8).max() < MARKS else SPACED)
+        code = np.frombuffer(joined, np.uint8)
+        space = code == 32
+        ends = space
+        if apart:
+            sign = self.is_sign[code]
+            turns = np.flatnonzero(sign[1:] != sign[:-1]) + 1  # the text begins and ends with a space, so these are starts and stops in turn
+            starts, stops = turns[::2], turns[1::2]
+            ends = space.copy()
+            ends[starts[self.is_letter[code[starts - 1]] & space[stops]]] = True
+        ends = np.flatnonzero(ends)
+        spaces = space[ends]
+        offsets = np.concatenate([[0], ends - np.cumsum(spaces) + spaces]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(joined.translate(None, b" "))])
+        return words, np.searchsorted(ends, np.cumsum([len(t) + 1 for t in raw])) + 1
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. What is new in all of them is learnt at once."""
         if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {"": b""}
-        if len(self.parts) > 2 * REMEMBERED:
-            self.parts = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def learn(self, new: set[str]) -> None:
-        known, parts, older, todo, wanted = self.known, self.parts, self.older, [], set()
+            self.older, self.known = self.known, {b"": b""}
+        words, ends = self.words(texts)
+        coded = words.dictionary_encode()
+        at, raw = np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: len(coded.dictionary) + 1].tolist(), bytes(coded.dictionary.buffers()[2] or b"")
+        distinct = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        self.learn([w for w in distinct if w not in self.known])
+        each = [self.known[w] for w in distinct]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        found = pa.Array.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(each))]).take(coded.indices)
+        at = np.frombuffer(found.buffers()[1], np.int64)[np.concatenate([[0], ends])].tolist()
+        ids = memoryview(found.buffers()[2] or b"")
+        return [bytes(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def halves(self, word: str) -> tuple[bytes, bytes]:
+        """A word before and after the signs at its end (ASCII in lower case)."""
+        part, tail = word.rstrip(SIGNS), ""
+        if "<|" in word:
+            return word.encode(), b""
+        if part and part != word and self.may_end(part[-1]):
+            tail = word[len(part) :]
+        else:
+            part = word
+        return (part.lower() if part.isascii() else part).encode(), tail.encode()
+
+    def learn(self, new: list[bytes]) -> None:
+        known, older, todo, wanted, tokenize = self.known, self.older, [], set(), self.tokenizer.model.tokenize
         for word in new:
             ids = older.get(word)
             if ids is not None:
                 known[word] = ids
-                continue
-            part, tail = word.rstrip(SIGNS), ""
-            if part == word:
-                pass
-            elif part and self.may_end(part[-1]) and "<|" not in word:
-                tail = word[len(part) :]
+            elif self.bare and word.isalpha() and word.islower():
+                known[word] = array("I", [t.id for t in tokenize(word.decode())]).tobytes()
             else:
-                part = word
-            if part.isascii() and "<|" not in part:
-                part = part.lower()
-            try:
-                known[word] = parts[part] + parts[tail]
-            except KeyError:
+                part, tail = self.halves(word.decode())
                 todo.append((word, part, tail))
                 wanted.update((part, tail))
-        plain = [x for x in wanted.difference(parts) if x.isalpha()]
+        rest = {x: x.decode() for x in wanted.difference(known)}
+        plain = [x for x, text in rest.items() if text.isalpha()]
         if plain:  # one word of letters each, so each ends with one token that ends a word
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(map(rest.__getitem__, plain))], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
             if len(ends) == len(plain):
                 raw, at = ids.tobytes(), 0
                 for x, end in zip(plain, ends.tolist(), strict=True):
-                    parts[x] = raw[at:end]
+                    known[x] = raw[at:end]
                     at = end
-        for x in wanted.difference(parts):
-            parts[x] = self.ids(x)
+        for x, text in rest.items():
+            if x not in known:
+                known[x] = self.ids(text)
         for word, part, tail in todo:
-            known[word] = parts[part] + parts[tail]
+            known[word] = known[part] + known[tail]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -117,6 +117,16 @@ def test_token_ids_of_every_letter_before_a_sign():
     assert token_ids.encode_texts(mixed, path) == want
 
 
+def test_words_that_differ_by_case_and_signs_are_learnt_once():
+    import public_tokenizers
+
+    coder = token_ids.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Word, word.\nWORD  word,", "", " ", "<|endoftext|> Word, H\u0331, Ab\u0301c. \u00c9t\u00e9, it's, 'S x<|", "\u00c4B, \u4e2d, \u0130. \u03a3"]
+    assert coder.texts(texts[:1]) == [coder.ids(texts[0])]
+    assert set(coder.known) == {b"", b"word", b",", b"."}
+    assert coder.texts(texts) == [coder.ids(t) for t in texts] == [coder.texts([t])[0] for t in texts]
+
+
 def test_pieces(spark, odd, none, docs):
     import sentencepiece
 
