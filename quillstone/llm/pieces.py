@@ -97,6 +97,13 @@ def words_of(text: str | None, model: PieceModel) -> list[str]:
     return model.words.findall(SPACE + marked if model.prefix else marked)
 
 
+def chunks_of(text: str, model: PieceModel) -> list[str] | None:
+    """What lies between a text's spaces, where each space, and the one that the model puts first, begins a word of its own; else none."""
+    if not model.prefix or text.startswith(" ") or "  " in text or SPACE in text:
+        return None
+    return text.split(" ")
+
+
 def merge_long(word: str, model: PieceModel) -> list[str]:
     """Symbols of a word of any length under a BPE model: best merges first, the leftmost of equals."""
     import heapq
@@ -298,6 +305,29 @@ class Segments(dict):
         return coded
 
 
+class Chunks(dict):
+    """What lies between two spaces -> ids of its words, the space before it among them."""
+
+    def __init__(self, known: Segments):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # one word
+            coded = self.known[SPACE + chunk]
+        else:
+            coded = b"".join(map(self.known.__getitem__, self.known.model.words.findall(SPACE + chunk)))
+        self[chunk] = coded
+        return coded
+
+    def ids(self, text: str) -> bytes:
+        """Ids (little-endian 32-bit) of a whole text."""
+        chunks = chunks_of(text, self.known.model) if text else []
+        if chunks is None:
+            return b"".join(map(self.known.__getitem__, words_of(text, self.known.model)))
+        return b"".join(map(self.__getitem__, chunks))
+
+
 class Decoder:
     """Texts from ids; bytes that are no UTF-8 become U+FFFD."""
 
@@ -307,9 +337,19 @@ class Decoder:
         self.raw = [bytes([byte_of[i]]) if i in byte_of else x.replace(SPACE, " ").encode() for i, x in enumerate(m.texts)]
 
     def text(self, ids: list[int]) -> str:
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return self._whole(b"".join(map(self.raw.__getitem__, ids)))
+
+    def _whole(self, raw: bytes) -> str:
+        out = raw.decode("utf-8", "replace")
         return out[1:] if self.model.prefix and out.startswith(" ") else out
 
+    def texts(self, coded: list[bytes]) -> Iterator[str]:
+        """The texts of several documents' ids (little-endian 32-bit)."""
+        found = pa.array(self.raw, pa.large_binary()).take(pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
+        ends = np.cumsum([0] + [len(x) // 4 for x in coded])
+        at, raw = np.frombuffer(found.buffers()[1], np.int64)[ends].tolist(), memoryview(found.buffers()[2] or b"")
+        return (self._whole(bytes(raw[a:b])) for a, b in zip(at[:-1], at[1:], strict=True))
+
 
 def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, block_chars: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Each batch with its block: a run of rows of one input partition with about block_chars characters."""
@@ -335,9 +375,15 @@ def encode(docs: DataFrame, path: str, digest: bool = False, block_chars: int =
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[str] = set()
+        chunks: set[str] = set()
         now = None
 
         def out() -> pa.RecordBatch:
+            for x in chunks:
+                if x.isalpha():  # one word
+                    met.add(SPACE + x)
+                else:
+                    met.update(model.words.findall(SPACE + x))
             buckets: dict[int, list[str]] = {}
             for w in sorted(w for w in met if 1 < len(w) <= LONGEST and "\n" not in w):
                 buckets.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % n_buckets, []).append(w)
@@ -345,13 +391,17 @@ def encode(docs: DataFrame, path: str, digest: bool = False, block_chars: int =
             return pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int32()), "block": pa.array([now] * len(rows), pa.int64()), "words": pa.array(rows, pa.string())})
 
         for block, batch in _blocks(batches, 0, block_chars):
-            if block != now and met:
+            if block != now and (met or chunks):
                 yield out()
-                met = set()
+                met, chunks = set(), set()
             now = block
             for text in batch.column(0).to_pylist():
-                met.update(words_of(text, model))
-        if met:
+                parts = chunks_of(text, model) if text else []
+                if parts is None:
+                    met.update(words_of(text, model))
+                else:
+                    chunks.update(parts)
+        if met or chunks:
             yield out()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,21 +421,21 @@ def encode(docs: DataFrame, path: str, digest: bool = False, block_chars: int =
     def build(texts: pa.Table, segments: pa.Table) -> pa.Table:
         import zstandard
 
-        known = Segments(path, segments["packed"].to_pylist())
+        known = Chunks(Segments(path, segments["packed"].to_pylist()))
         decoder, doc_ids, counts, ids, back = Decoder(path), [], [], [], []
         for row_ids, sizes, raw in zip(texts["doc_ids"].to_pylist(), texts["sizes"].to_pylist(), texts["texts"].to_pylist(), strict=True):
             raw, at = zstandard.ZstdDecompressor().decompress(raw), 0
-            for doc_id, size in zip(row_ids, sizes, strict=True):
-                text = raw[at : at + max(size, 0)].decode("utf-8", "surrogatepass")
+            coded = []
+            for size in sizes:
+                coded.append(known.ids(raw[at : at + max(size, 0)].decode("utf-8", "surrogatepass")))
                 at += max(size, 0)
-                coded = b"".join(map(known.__getitem__, words_of(text, model)))
-                doc_ids.append(doc_id)
-                counts.append(len(coded) // 4)
-                if digest:
-                    ids.append(zlib.crc32(coded))
-                    back.append(zlib.crc32(decoder.text(np.frombuffer(coded, dtype="<u4").tolist()).encode()))
-                else:
-                    ids.append(np.frombuffer(coded, dtype="<i4"))
+            doc_ids += row_ids
+            counts += [len(x) // 4 for x in coded]
+            if digest:
+                ids += map(zlib.crc32, coded)
+                back += [zlib.crc32(text.encode()) for text in decoder.texts(coded)]
+            else:
+                ids += [np.frombuffer(x, dtype="<i4") for x in coded]
         out = {"doc_id": pa.array(doc_ids, pa.int64()), "n_pieces": pa.array(counts, pa.int64())}
         if digest:
             return pa.table(out | {"ids_crc32": pa.array(ids, pa.int64()), "text_crc32": pa.array(back, pa.int64())})

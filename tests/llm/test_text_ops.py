@@ -142,6 +142,19 @@ def test_pieces(spark, odd, none, docs):
     assert pieces.encode(none, path).count() == 0
 
 
+def test_pieces_of_what_lies_between_spaces():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, coder, decoder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Chunks(pieces.Segments(path, [])), pieces.Decoder(path)
+    texts = ["", " ", "a", " a", "a ", "the end.\nthe end, 12\u00b2 \u00e9t\u00e9", "two  spaces", "\u2581a b", "b\u2581 c", "it's\n it's\t\u4e2d_x"]
+    coded = [coder.ids(t) for t in texts]
+    assert [np.frombuffer(c, dtype="<u4").tolist() for c in coded] == [library.encode(t) for t in texts]
+    assert list(decoder.texts(coded)) == [decoder.text(library.encode(t)) for t in texts]
+    assert set(coder) >= {"the", "end.\nthe", "end,"} and pieces.chunks_of("two  spaces", coder.known.model) is None
+
+
 def test_lattice_gives_the_boundaries(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = pieces.load(path)
